@@ -33,12 +33,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches are cut by bytes too, so that a batch of very long texts stays small."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
-    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > mb << 20:
-        spark.conf.set(key, str(mb << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -54,3 +51,10 @@ def prefix_offsets(parts: DataFrame, order: list[str], sums: list[str]) -> DataF
 
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return parts.select("*", *(F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(f"{c}_before") for c in sums))
+
+
+def byte_texts(batch, name: str = "text") -> list[bytes | None]:
+    """The UTF-8 bytes of a string column of an Arrow batch."""
+    import pyarrow as pa
+
+    return batch.column(name).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()

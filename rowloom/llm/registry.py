@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, urls
+from . import chat, decontaminate, langid, quality, sharding, simhash, tokens, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_token_ids": tokens.op2_token_ids,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_simhash": simhash.op5_simhash,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality": quality.op8_quality,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op3_decontamination": decontaminate.OP3_SQL,
 }
