@@ -1,16 +1,61 @@
 """The corpus pipeline: documents in, clean encoded documents out.
 
-``STAGES`` is filled in as the operators are built.
+Language identification, near-duplicates, repeated passages, benchmark passages, and piece ids. Each stage gets what
+its predecessor kept, written and read again; all but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rowloom.llm import decontaminate, langid, pieces, simhash, suffixes
 from rowloom.llm.common import store, table
 
-STAGES: list = []
 
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with these columns; n_chars follows the text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or with none that is clear, go."""
+    net = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out(F.col("doc_id"))))
+    return langid.keep_languages(docs, net)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked fingerprints stays."""
+    return simhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier place has leave the text; documents of nothing else go."""
+    out = suffixes.remove_repeats(docs)
+    return _sized(out.filter("n_removed = 0 or n_removed < n_words"), docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What test items share with a document leaves its text; documents that consist of it for the most part go."""
+    return _sized(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids."""
+    return pieces.encode(docs, pieces.Pieces.load(pieces.model_path()))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("encode", encode),
+]
+
+#: No SQL can express these stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
@@ -18,6 +63,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
-    for _, stage in STAGES[-1:]:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, quality, sharding, simhash, tokens, urls
+from . import chat, decontaminate, langid, pieces, quality, sharding, simhash, suffixes, tokens, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": urls.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
+    "op6_pieces": pieces.op6_pieces,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
     "op9_language_id": langid.op9_language_id,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
