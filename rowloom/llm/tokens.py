@@ -7,19 +7,23 @@ Elias-Fano sequence: low bits packed, high bits in unary, and the place of each
 2 + log2(tokens / documents) bits for a document; ``EliasFano.select`` finds one offset without decoding the rest.
 
 Defined cases: null text is empty (just the end id); null doc_ids come first; rows of one doc_id are ordered by a hash
-of their text; a document longer than a segment is a segment of its own; a table without rows gives an empty folder
+of their text; a segment ends with the batch that fills it, so a document is never cut; a table without rows gives an empty folder
 of files that reads back as no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,43 +92,94 @@ class EliasFano:
         return cls(n, top, k, low, high, np.frombuffer(data, "<u4", -1, at + n_low + 8 + n_high))
 
 
+#: Texts of these characters only are cut beforehand as the tokenizer cuts them: nothing but lower case changes them.
+_NOT_PLAIN = r"[^\t\n -~À-ÖØ-öø-ÿ]|<\|"
+_RUN = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n a-z0-9ß-öø-ÿ]+)[\t\n ]*"
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordCoder:
     """Whole texts to ids by the tokenizers library, each distinct word once.
 
     The tokenizer splits at white space before its merges and its normaliser works on characters, so the ids of a
-    text are those of its words, split at blanks and line ends, one after the other. Two generations of words are
-    kept, so memory is bounded and frequent words stay.
+    text are those of its words, split at blanks and line ends, one after the other. Texts of plain characters are
+    further lower-cased and cut into the runs of letters, digits and marks that this kind of tokenizer merges in, and the
+    runs go to the same merges without the normaliser. Two generations of both are kept: memory is bounded, and
+    frequent ones stay.
     """
 
-    def __init__(self, path: str, width: int, keep: int = 400_000):
+    def __init__(self, path: str, width: int, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.keep = Tokenizer.from_file(path), f"<u{width}", keep
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {"": b""}
-        ask = []
-        for w in words - self.new.keys():
-            if (known := self.old.get(w)) is None:
-                ask.append(w)
+        self.tokenizer, self.dtype, self.keep = Tokenizer.from_file(path), np.dtype(f"<u{width}"), keep
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.runs: list[dict[str, bytes]] = [{}, {}]
+        self.code = "H" if width == 2 else "I"
+        self.merges = None
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        lower = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        if lower and len(steps) == 2 and steps[0].get("pattern") == {"Regex": _PATTERN} and steps[1]["type"] == "ByteLevel":
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}))
+
+    def _ids_of(self, store: list[dict[str, bytes]], tokenizer, asked: list[str]) -> list[bytes]:
+        """The bytes of the ids of each of these distinct words."""
+        if len(store[0]) > self.keep:
+            store[:] = [{}, store[0]]
+        new, old = store
+        for w in (fresh := [w for w in asked if w not in new]):
+            new[w] = old.get(w)
+        fresh = [w for w in fresh if new[w] is None]
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            if tokenizer is self.merges:  # one call, as no run meets its neighbours
+                e = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                ids = array(self.code, e.ids).tobytes()
+                bounds = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
+                new.update(zip(part, (ids[a:z] for a, z in itertools.pairwise(bounds)), strict=True))
+                continue
+            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[w] = array(self.code, e.ids).tobytes()
+        return [new[w] for w in asked]
+
+    def _coded(self, texts: pa.Array, store, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Texts whose words a blank separates: all ids end to end, and where each text ends."""
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        data = self._ids_of(store, tokenizer, coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, data), np.int32, len(data)) // self.dtype.itemsize
+        known = pa.array(np.frombuffer(b"".join(data), self.dtype))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), known)
+        ends = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()], dtype=np.int64)])
+        return lists.take(coded.indices).flatten().to_numpy(), ends[split.offsets.to_numpy()]
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and each text's number of ids; with ``end`` behind each text, where given."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        other = pc.match_substring_regex(texts, _NOT_PLAIN) if self.merges else pa.array([True] * len(texts))
+        is_other = other.to_numpy(zero_copy_only=False)
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        for mask in (False, True):
+            at = np.flatnonzero(is_other == mask)
+            if not len(at):
+                continue
+            some = texts.take(pa.array(at))
+            if mask:
+                ids, bounds = self._coded(pc.replace_substring(some, "\n", " "), self.words, self.tokenizer)
             else:
-                self.new[w] = known
-        for at in range(0, len(ask), 4096):
-            part = ask[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, self.dtype).tobytes()
+                ids, bounds = self._coded(pc.replace_substring_regex(pc.utf8_lower(pc.utf8_ltrim_whitespace(some)), _RUN, r"\1 "), self.runs, self.merges)
+            if len(at) == len(texts):
+                return self._ended(ids, bounds, end)
+            for i, k in enumerate(at.tolist()):
+                parts[k] = ids[bounds[i] : bounds[i + 1]]
+        ids = np.concatenate([np.empty(0, self.dtype), *parts])
+        return self._ended(ids, np.cumsum([0, *map(len, parts)]), end)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text the bytes of its ids."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        get = self.new.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+    @staticmethod
+    def _ended(ids: np.ndarray, bounds: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.diff(bounds)
+        return (ids, counts) if end is None else (np.insert(ids, bounds[1:], end), counts + 1)
 
 
 _CODERS: dict[tuple, WordCoder] = {}  # by worker process
@@ -141,25 +196,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _CODERS.get((tokenizer, width)) or _CODERS.setdefault((tokenizer, width), WordCoder(tokenizer, width))
-        end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
-        part, seq, held, doc_ids, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        doc_ids: list[int | None] = []
+        lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            lengths = np.cumsum([0, *(len(x) // width for x in held)])
-            row = [part, seq, len(held), int(lengths[-1]), width, doc_ids, EliasFano.encode(lengths).to_bytes(), b"".join(held)]
+            bounds = np.cumsum([0, *lengths])
+            row = [part, seq, len(lengths), int(bounds[-1]), width, doc_ids, EliasFano.encode(bounds).to_bytes(), np.concatenate(held).tobytes()]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
-                held.append(ids + end)
-                doc_ids.append(doc_id)
-                size += len(held[-1]) // width
-                if size >= segment_tokens:
-                    yield flush()
-                    seq, held, doc_ids, size = seq + 1, [], [], 0
-        if held:
+            if not b.num_rows:
+                continue
+            ids, counts = coder.encode(b.column("text"), end_id)
+            held.append(ids)
+            lengths += counts.tolist()
+            doc_ids += b.column("doc_id").to_pylist()
+            if sum(map(len, held)) >= segment_tokens:
+                yield flush()
+                seq, held, doc_ids, lengths = seq + 1, [], [], []
+        if lengths:
             yield flush()
 
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
