@@ -94,6 +94,8 @@ class EliasFano:
 
 #: Texts of these characters only are cut beforehand as the tokenizer cuts them: nothing but lower case changes them.
 _NOT_PLAIN = r"[^\t\n -~À-ÖØ-öø-ÿ]|<\|"
+#: Of these, texts whose only marks are single commas and full stops behind words need no pattern to be cut.
+_NOT_SIMPLE = r"[^a-zA-ZÀ-ÖØ-öø-ÿ ,.\n]|[.,][^ \n]"
 _RUN = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n a-z0-9ß-öø-ÿ]+)[\t\n ]*"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -128,9 +130,12 @@ class WordCoder:
         if len(store[0]) > self.keep:
             store[:] = [{}, store[0]]
         new, old = store
-        for w in (fresh := [w for w in asked if w not in new]):
-            new[w] = old.get(w)
-        fresh = [w for w in fresh if new[w] is None]
+        out = list(map(new.get, asked))
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        for i in missed:
+            if (known := old.get(asked[i])) is not None:
+                new[asked[i]] = known
+        fresh = [asked[i] for i in missed if asked[i] not in new]
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             if tokenizer is self.merges:  # one call, as no run meets its neighbours
@@ -141,7 +146,9 @@ class WordCoder:
                 continue
             for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 new[w] = array(self.code, e.ids).tobytes()
-        return [new[w] for w in asked]
+        for i in missed:
+            out[i] = new[asked[i]]
+        return out
 
     def _coded(self, texts: pa.Array, store, tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Texts whose words a blank separates: all ids end to end, and where each text ends."""
@@ -157,22 +164,26 @@ class WordCoder:
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and each text's number of ids; with ``end`` behind each text, where given."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        other = pc.match_substring_regex(texts, _NOT_PLAIN) if self.merges else pa.array([True] * len(texts))
-        is_other = other.to_numpy(zero_copy_only=False)
+        kind = np.full(len(texts), 2)
+        if self.merges:
+            for k, pattern in ((1, _NOT_PLAIN), (0, _NOT_SIMPLE)):
+                kind[~pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)] = k
         parts: list[np.ndarray | None] = [None] * len(texts)
-        for mask in (False, True):
-            at = np.flatnonzero(is_other == mask)
-            if not len(at):
-                continue
+        for k in np.unique(kind):
+            at = np.flatnonzero(kind == k)
             some = texts.take(pa.array(at))
-            if mask:
+            if k == 2:
                 ids, bounds = self._coded(pc.replace_substring(some, "\n", " "), self.words, self.tokenizer)
             else:
-                ids, bounds = self._coded(pc.replace_substring_regex(pc.utf8_lower(pc.utf8_ltrim_whitespace(some)), _RUN, r"\1 "), self.runs, self.merges)
-            if len(at) == len(texts):
-                return self._ended(ids, bounds, end)
-            for i, k in enumerate(at.tolist()):
-                parts[k] = ids[bounds[i] : bounds[i + 1]]
+                some = pc.utf8_lower(some)
+                if k == 1:
+                    some = pc.replace_substring_regex(pc.utf8_ltrim_whitespace(some), _RUN, r"\1 ")
+                else:
+                    for a, z in ((",", " ,"), (".", " ."), ("\n", " ")):
+                        some = pc.replace_substring(some, a, z)
+                ids, bounds = self._coded(some, self.runs, self.merges)
+            for i, at_ in enumerate(at.tolist()):
+                parts[at_] = ids[bounds[i] : bounds[i + 1]]
         ids = np.concatenate([np.empty(0, self.dtype), *parts])
         return self._ended(ids, np.cumsum([0, *map(len, parts)]), end)
 
@@ -192,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1)
     width = 2 if top <= 1 << 16 else 4
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 16)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _CODERS.get((tokenizer, width)) or _CODERS.setdefault((tokenizer, width), WordCoder(tokenizer, width))
