@@ -3,8 +3,9 @@
 The suffixes of the corpus that start at minimisers (the least hash of three words in a window of ``W`` places) are
 kept, cut to ``T`` words and sorted by the hash of these. Equal neighbours are the same T words; each is compared with
 the first of its run in corpus order (doc_id, then place). Along a repeated passage such matches follow each other at
-one distance and join to one span, which is then extended word by word to the left and right. A span of ``least`` = 50
-words or more is a repeat of an earlier passage. W + T is 50, so any repeated passage of 50 words has a minimiser whose
+one distance and join to one span, which is then extended word by word to the left and right. A span of 50
+words or more (LEAST) is a repeat of an earlier passage. A text's repeats of itself are found the same way where the text is read;
+only the first of equal suffixes of a text meets those of others. W + T is 50, so any repeated passage of 50 words has a minimiser whose
 T words lie inside, no more than W - 1 words from its start and from its end; W words to either side complete it.
 
 What stays: where a repeated passage reaches fewer than W words beyond a passage that a third, still earlier document has,
@@ -35,7 +36,7 @@ from pyspark.sql import types as T_
 
 from .common import bounded_batches, byte_texts, store, table
 
-M, W, T = 3, 20, 30
+M, W, T = 3, 30, 20
 LEAST = 50
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -92,17 +93,56 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _HASHES = WordHashes()  # by worker process
 
 
+def own_repeats(h: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Which kept suffixes are the first of their T words in the text, and the spans that repeat an earlier place of the text itself."""
+    order = np.lexsort((places, hashes))
+    same = hashes[order][1:] == hashes[order][:-1]
+    first = np.ones(len(places), bool)
+    first[order[1:][same]] = False
+    if not same.any():
+        return first, []
+    at, shift = places[order[1:][same]], places[order[1:][same]] - places[order[:-1][same]]
+    order = np.lexsort((at, shift))
+    at, shift = at[order], shift[order]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(shift) != 0) | (np.diff(at) > T)]))
+    spans = []
+    for k, z in zip(begins.tolist(), [*(begins[1:] - 1).tolist(), len(at) - 1], strict=True):
+        a, end, d = int(at[k]), int(at[z]) + T, int(shift[k])
+        while a > d and h[a - 1] == h[a - 1 - d]:
+            a -= 1
+        while end < len(h) and h[end] == h[end - d]:
+            end += 1
+        if end - a >= LEAST:
+            spans.append((a, end))
+    return first, union_spans(spans)
+
+
+#: A row is a kept suffix, or with ``end`` a span that repeats an earlier place of its own text.
+ANCHORS = "did long, th int, at int, h long, end int"
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [anchors(_HASHES.of((t or b"").split())) for t in byte_texts(b)]
-        n = [len(p) for p, _ in found]
-        if sum(n):
-            rows = np.repeat(np.arange(b.num_rows), n)
+        rows, at, hashes, ends = [], [], [], []
+        for i, t in enumerate(byte_texts(b)):
+            h = _HASHES.of((t or b"").split())
+            places, of = anchors(h)
+            if not len(places):
+                continue
+            first, spans = own_repeats(h, places, of)
+            n = int(first.sum())
+            rows += [i] * (n + len(spans))
+            at += [places[first], np.array([a for a, _ in spans], np.int64)]
+            hashes += [of[first], np.zeros(len(spans), np.uint64)]
+            ends += [np.full(n, -1), np.array([z for _, z in spans], np.int64)]
+        if rows:
             take = lambda c: b.column(c).take(pa.array(rows))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([take("did"), take("th"), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)), pa.array(np.concatenate([h for _, h in found]).view("i8"))], names=["did", "th", "at", "h"])
+            end = np.concatenate(ends)
+            cols = [take("did"), take("th"), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes).view("i8")), pa.array(end.astype(np.int32), mask=end < 0)]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ANCHORS.split(", ")])
 
 
-CONTEXT = "did long, th long, at int, side int, words array<long>"
+CONTEXT = "did long, th int, at int, side int, words array<long>"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,25 +154,27 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 h = _HASHES.of((text or b"").split()).view("i8")
                 rows += [(did, th, a["at"], a["side"], h[a["at"] : a["at"] + W] if a["side"] else h[max(0, a["at"] - W) : a["at"]][::-1]) for a in asked]
         if rows:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["did", "th", "at", "side", "words"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with did and th, which name a document and are never null."""
-    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64("text")})
+    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.hash("text")})
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """did, th, first_did, start, end (words, end excluded): each row is a span of a document that repeats an earlier place."""
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs.select("doc_id", "text"))
-    found = store(keyed.mapInArrow(_anchor_rows, "did long, th long, at int, h long"), "anchors")
+    kept = store(keyed.mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    own = kept.filter("end is not null").select("did", "th", F.col("did").alias("first_did"), F.col("at").alias("start"), "end")
+    found = kept.filter("end is null").select("did", "th", "at", "h")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     runs = store(found.join(twice, "h"), "runs")
     first = runs.groupBy("h").agg(F.min(F.struct("did", "th", "at")).alias("f")).select("h", F.col("f.did").alias("fd"), F.col("f.th").alias("ft"), F.col("f.at").alias("fa"))
-    later = runs.join(first, "h").filter("not (did = fd and th = ft and at = fa)").select("did", "th", "at", "fd", "ft", (F.col("at") - F.col("fa")).alias("shift")).distinct()
-    # matches of one document with one other at one distance, no further apart than they reach, are one span
+    later = runs.join(first, "h").filter("not (did = fd and th = ft and at = fa)").select("did", "th", "at", "fd", "ft", (F.col("at") - F.col("fa")).alias("shift"))
+    # matches of one document with one other at one distance, no further apart than they reach, are one span (a repeated row's matches coincide)
     w = Window.partitionBy("did", "th", "fd", "ft", "shift").orderBy("at")
     gaps = later.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(w), F.lit(-1 << 30)) > T).cast("int"))
     spans = gaps.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -142,15 +184,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     ends = ends.withColumn("there", F.col("here") - F.col("shift"))
     asked = ends.select("did", "th", F.col("here").alias("at"), "side").union(ends.select("fd", "ft", "there", "side")).distinct()
     asked = asked.groupBy("did", "th").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
-    context = store(keyed.join(asked, ["did", "th"]).select("did", "th", "asked", "text").mapInArrow(_context_rows, CONTEXT).distinct(), "context")
+    context = store(keyed.join(asked, ["did", "th"]).select("did", "th", "asked", "text").mapInArrow(_context_rows, CONTEXT), "context")
     here = context.select("did", "th", F.col("at").alias("here"), "side", F.col("words").alias("w1"))
     there = context.select(F.col("did").alias("fd"), F.col("th").alias("ft"), F.col("at").alias("there"), "side", F.col("words").alias("w2"))
     both = ends.join(here, ["did", "th", "here", "side"]).join(there, ["fd", "ft", "there", "side"])
     differs = F.array_position(F.zip_with("w1", "w2", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
     more = F.when(differs > 0, differs - 1).otherwise(F.size("w1")).cast("int")
-    grown = both.groupBy("did", "th", "fd", "ft", "shift", "start", "end").agg(F.sum(F.when(F.col("side") == 0, more).otherwise(0)).alias("left"), F.sum(F.when(F.col("side") == 1, more).otherwise(0)).alias("right"))
+    grown = both.groupBy("did", "th", "fd", "ft", "shift", "start", "end").agg(F.max(F.when(F.col("side") == 0, more)).alias("left"), F.max(F.when(F.col("side") == 1, more)).alias("right"))
     grown = grown.select("did", "th", F.col("fd").alias("first_did"), (F.col("start") - F.col("left")).cast("int").alias("start"), (F.col("end") + F.col("right")).cast("int").alias("end"))
-    return grown.filter(F.col("end") - F.col("start") >= LEAST)
+    return grown.filter(F.col("end") - F.col("start") >= LEAST).unionByName(own)
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -179,7 +221,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*new.names)
     spans = repeats(docs).groupBy("did", "th").agg(F.collect_list(F.struct("start", "end")).alias("__spans"), F.array_sort(F.collect_set("first_did")).alias("__of"))
     columns = docs.columns
-    joined = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
+    joined = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.hash("text")})
     spans = spans.withColumnsRenamed({"did": "__did", "th": "__th"})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
