@@ -103,6 +103,7 @@ class DataStepCompiler:
         self.engine, self.step, self.p = engine, step, _plan(step.body)
         self.spark = engine.spark
         self.labels: dict[str, Variable] = {}
+        self.kept_order: list[tuple[str, bool]] = []  # of a single input
         self.flags: list[str] = []
         self.counter = 0
 
@@ -165,9 +166,11 @@ class DataStepCompiler:
         self.flags += [f for f in flags if f]
         if self.needs_order or len(self.p.sets) > 1 or self.p.by_items:
             found = [(with_obs(d), f) for d, f in found]
-        dfs = [d.df if OBS in d.df.columns and (self.needs_order or len(self.p.sets) > 1 or self.p.by_items) else d.visible for d, _ in found]
+        numbered = all(OBS in d.df.columns for d, _ in found) and (self.needs_order or len(self.p.sets) > 1 or self.p.by_items or len(found) == 1)
+        dfs = [d.df if numbered else d.visible for d, _ in found]
         if len(dfs) == 1:
             df = dfs[0]
+            self.kept_order = found[0][0].order
             return df.withColumns({f: F.lit(1) for f in flags if f})
         return M.stack(dfs, flags)
 
@@ -223,7 +226,7 @@ class DataStepCompiler:
 
     def _looks_at_order(self) -> bool:
         p = self.p
-        found = bool(p.retain_items or p.end or _has(p.body, "sum") or _has(p.body, "stop") or len(p.sets) > 1)
+        found = bool(p.retain_items or p.end or _has(p.body, "sum") or _has(p.body, "stop") or len(p.sets) > 1 or "symput" in str(p.body))
 
         def see(n):
             nonlocal found
@@ -732,8 +735,9 @@ class DataStepCompiler:
             value = char(C.sql(args[1], self.scope(df)))
             target = char(C.sql(args[0], self.scope(df)))
             rows = df.filter(self._path(path)).withColumn("__name", F.expr(target)).withColumn("__value", F.expr(value))
-            order = F.col(OBS) if OBS in df.columns else F.monotonically_increasing_id()
-            for r in rows.groupBy("__name").agg(F.max_by("__value", order).alias("v")).collect():
+            if OBS not in rows.columns:
+                rows = rows.withColumn(OBS, F.monotonically_increasing_id())
+            for r in rows.groupBy("__name").agg(F.max_by("__value", OBS).alias("v")).collect():
                 self.engine.macro.set_global(r[0].strip(), (r["v"] or "").strip() if name == "symputx" else r["v"] or "")
             return df
         self.engine.log("warning", f"CALL {name.upper()} is not known and does nothing")
@@ -812,7 +816,7 @@ class DataStepCompiler:
                 for i, b in enumerate(by):
                     w = Window.partitionBy(*by[: i + 1]).orderBy(*(o if kind == "first" else (F.col(c).asc() if d else F.col(c).desc()) for o, (c, d) in zip(order, self.order, strict=True)))
                     df = df.withColumn(f"__{kind}_{b.lower()}", F.row_number().over(w) == 1)
-        body, arrays, temporary, chars = p.body, p.arrays, p.temporary, set(self.chars)
+        body, arrays, temporary, chars, formats = p.body, p.arrays, p.temporary, set(self.chars), dict(self.engine.formats)
         end = p.end.lower() if p.end else None
         lows = [b.lower() for b in by]
 
@@ -830,7 +834,7 @@ class DataStepCompiler:
                 yield held | ({"__flags": {end: 1}} if end else {})
 
         def made(frames):
-            it = Interpreter(body, arrays, temporary, retained, initial, lows, chars)
+            it = Interpreter(body, arrays, temporary, retained, initial, lows, chars, formats)
             buffer, n = [], 0
             for to, v in it.run(rows(frames, True)):
                 n += 1
@@ -943,6 +947,9 @@ class DataStepCompiler:
             hidden = [c for c in (OBS, "__row") if c in df.columns]
             out = df.select(*(F.col(C.name_sql(c)).alias(renames.get(c.lower(), c)) for c in kept), *hidden)
             order = [(OBS, False)] if OBS in out.columns else [(c, d) for c, d in self.by if c in out.columns] if p.update else []
+            if not order and self.kept_order and "__row" not in out.columns and all(c in self.inputs and c.lower() not in getattr(self, "assigned", set()) for c, _ in self.kept_order):
+                held = [(renames.get(c.lower(), c), d) for c, d in self.kept_order]
+                order = held if all(c in out.columns for c, _ in held) else []
             if "__row" in out.columns:
                 low = {c.lower() for c in out.columns}
                 out = out.drop("__row")

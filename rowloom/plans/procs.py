@@ -158,7 +158,7 @@ def append(engine, step):
 
 def copy(engine, step):
     h, st = header(step.header), statements(step)
-    src, dst = engine.library(str(h["in"])), str(h["out"])
+    src, dst = engine.library(str(h["in"])), h["out"][0] if isinstance(h["out"], tuple) else str(h["out"])
     names = src.names()
     chosen = {n.upper() for n in _names(st.get("select", []), [])}
     gone = {n.upper() for n in _names(st.get("exclude", []), [])}

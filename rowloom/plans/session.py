@@ -250,8 +250,13 @@ class Engine:
             df = df.drop("__k")
         if "where" in options:
             df = df.filter(C.condition(options["where"], self.scope(df)))
-        for key, value in options.items():
+        # KEEP= and DROP= come before RENAME=; they may name a variable by its new name too
+        renames = {b.lower(): a for a, b in options.get("rename", [])}
+        for key, value in sorted(options.items(), key=lambda kv: kv[0] == "rename"):
             columns = [c for c in df.columns if c != OBS]
+            if key in ("keep", "drop"):
+                low = {c.lower() for c in columns}
+                value = [("one", renames[i[1].lower()]) if i[0] == "one" and i[1].lower() not in low and i[1].lower() in renames else i for i in value]
             hidden = [OBS] if OBS in df.columns else []
             if key == "rename":
                 low = {c.lower(): c for c in columns}

@@ -7,7 +7,7 @@ import re
 from pathlib import Path
 
 from ..lang.lexer import ProgramError
-from ..plans.dataset import Dataset, load
+from ..plans.dataset import OBS, Dataset, load, number
 from . import files
 
 
@@ -70,6 +70,8 @@ class FileLibrary(Library):
         spark = self.engine.spark
         if self.kind == "parquet":
             df = load(spark.read.parquet(path))
+            if OBS in df.columns:  # the order that the dataset was written in
+                return Dataset(df, {}, [(OBS, False)])
         elif self.kind == "csv":
             df = files.read_delimited(spark, path)
         else:
@@ -80,7 +82,8 @@ class FileLibrary(Library):
         if self.kind == "parquet":
             path = f"{self.path}/{member.lower()}.parquet"
             tmp = f"{path}.new"
-            d.ordered.write.mode("overwrite").parquet(tmp)  # the dataset may be read from the old files
+            df = number(d.df.drop(OBS) if (OBS, False) not in d.order else d.df.withColumnRenamed(OBS, "__o"), [("__o" if c == OBS else c, x) for c, x in d.order], OBS).drop("__o") if d.order else d.visible
+            df.write.mode("overwrite").parquet(tmp)  # the dataset may be read from the old files
             jvm, sc = self.engine.spark.sparkContext._jvm, self.engine.spark.sparkContext
             a, b = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
             fs = b.getFileSystem(sc._jsc.hadoopConfiguration())
