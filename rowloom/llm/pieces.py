@@ -7,19 +7,19 @@ the word's lattice. Edges are grouped by word and a higher-order aggregate folds
 best path (Viterbi): the highest sum of scores; of equal sums, the one whose last piece starts first. A character
 without a piece is an edge of its UTF-8 bytes' pieces, with a score below every piece's.
 
-Words come back to documents in two ways that together are exact: the ``head`` most frequent words and their ids are
-sent to all workers (a bounded table); the other words of each document are joined to the encoded words and meet their
-document again by its key. Decoding looks ids up in the piece table.
+Words are first cut where no piece has the two characters beside each other, which every path must respect. They come
+back to documents in two ways that together are exact: the ``head`` most frequent words and their ids are sent to all
+workers (a table of bounded size, found by 64-bit hash); where the corpus has more, each document's other words are joined to the encoded words and
+meet their document again by its key. Decoding looks ids up in the piece table.
 
 Defined cases: null or empty text has no ids, and decodes to empty text; a U+2581 in a text reads back as a blank
-(as in the format itself); a word without limit of length is one lattice; repeated rows are encoded each; null doc_ids
+(as in the format itself); a word of up to 2^24 characters is one lattice; repeated rows are encoded each; null doc_ids
 are ids like others; other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,11 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, store, table
+from .common import bounded_batches, kept_by_worker, store, table
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -71,25 +73,78 @@ class Pieces:
 
 def words_of(text: str) -> list[str]:
     """The words of a text; joined, they are the text as the pieces see it."""
-    if not text:
-        return []
-    if "  " in text or BLANK in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text:
-        return _WORDS.findall(BLANK + text.replace(" ", BLANK))
-    marked = BLANK + text.replace(" ", " " + BLANK)
-    if "\n" in marked:
-        return [w for w in marked.replace("\n", " \n ").split(" ") if w]
-    return marked.split(" ")
-
-
-def corpus_words(docs: DataFrame, most: int = 300_000) -> DataFrame:
-    """word, n: the distinct words of all texts and how often they occur. Tasks count what they see, at most ``most`` words at a time."""
+    return _WORDS.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+
+#: Texts in which each blank and line end stands alone between words need no pattern to be cut.
+_NOT_SIMPLE = f"^[ \n]|[ \n]$|[ \n][ \n]|{BLANK}"
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The distinct words of a batch, which of them follow each other, and where each text's begin and end."""
+    pa.default_memory_pool().release_unused()  # of the batch before
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    simple = pc.and_(pc.invert(pc.match_substring_regex(texts, _NOT_SIMPLE)), pc.not_equal(texts, ""))
+    some = texts.filter(simple)
+    marked = pc.replace_substring(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (BLANK, some, ""))), " ", " " + BLANK)
+    split = pc.split_pattern(pc.replace_substring(marked, "\n", " \n "), " ")
+    if len(some) < len(texts):
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        other = pa.array([words_of(t) for t in texts.filter(pc.invert(simple)).to_pylist()], pa.list_(pa.large_string())).cast(split.type)
+        place = np.where(is_simple, np.cumsum(is_simple) - 1, len(some) + np.cumsum(~is_simple) - 1)
+        split = pa.concat_arrays([split, other]).take(pa.array(place))
+    coded = split.flatten().dictionary_encode()
+    bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+    return coded.dictionary, coded.indices, bounds
+
+
+class Cutter:
+    """Cuts words where no piece has the two characters beside each other: every path ends there."""
+
+    def __init__(self, pieces: Pieces):
+        inside = {t[i : i + 2] for k in pieces.plain() for t in [pieces.text[k]] for i in range(len(t) - 1)}
+        chars = sorted({c for p in inside for c in p})
+        self.number = np.zeros(0x110000, np.uint16)  # 0: in no pair
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        at = {c: i for i, c in enumerate(chars, 1)}
+        for a, z in inside:
+            self.joins[at[a], at[z]] = True
+
+    def __call__(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct parts of the words, all words' parts one after the other as places among these, and how many each word has."""
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = "".join(words.to_pylist())
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        n = self.number[code]
+        begins = np.zeros(len(code) + 1, bool)
+        if len(code):
+            begins[1:-1] = ~self.joins[n[:-1], n[1:]]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        begins[first] = True
+        if len(code):
+            begins[-1] = False
+        cuts = np.flatnonzero(begins)
+        width = np.concatenate([[0], np.cumsum(1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))])
+        offsets = width[np.append(cuts, len(code))]
+        parts = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.encode())).dictionary_encode()
+        counts = np.diff(np.searchsorted(cuts, first))
+        return parts.dictionary, parts.indices.to_numpy(), counts
+
+
+def corpus_words(docs: DataFrame, pieces: Pieces, most: int = 100_000) -> DataFrame:
+    """word, n: the distinct cut words of all texts and how often they occur. Tasks count what they see, ``most`` words or a batch at a time."""
+    cut = Cutter(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("pieces", dict)
         c: Counter[str] = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["word", "n"])
         for b in batches:
-            for t in b.column("text").to_pylist():
-                c.update(words_of(t or ""))
+            words, which, _ = split_words(b.column("text"))
+            parts, codes, sizes = cut(words)
+            seen = np.repeat(np.bincount(which.to_numpy(), minlength=len(words)), sizes)
+            c.update(dict(zip(parts.to_pylist(), np.bincount(codes, seen, len(parts)).astype(np.int64).tolist(), strict=True)))
             if len(c) > most:
                 yield out()
                 c.clear()
@@ -105,98 +160,177 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def viterbi(edges: Column) -> Column:
-    """The ids of the best path through edges (array of struct(end, start, score, ids)), which reach every end.
+def viterbi(edges: Column, score_of) -> Column:
+    """The ids of the best path through edges that reach every end; packed as end, 255 - size and id in 24, 8 and 31 bits.
 
-    The fold's state has, for each end in turn, the best score and its ids.
+    The fold's state has, for each end in turn, the best score and its ids. ``score_of``: an id's score.
     """
     state = F.array(F.struct(F.lit(0.0).alias("score"), F.expr("cast(array() as array<int>)").alias("ids")))
 
     def step(acc: Column, e: Column) -> Column:
-        n = F.size(acc)
-        before = F.get(acc, e["start"])
-        score = before["score"] + e["score"]
-        new = F.array(F.struct(score.alias("score"), F.concat(before["ids"], e["ids"]).alias("ids")))
-        return F.when(e["end"] == n, F.concat(acc, new)).when(score > F.get(acc, n - 1)["score"], F.concat(F.slice(acc, 1, n - 1), new)).otherwise(acc)
+        n, id_ = F.size(acc), e.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        end = F.shiftright(e, 39).cast("int")
+        before = F.get(acc, end - 255 + F.shiftright(e, 31).bitwiseAND(F.lit(255)).cast("int"))
+        score = before["score"] + score_of(id_)
+        new = F.array(F.struct(score.alias("score"), F.array_append(before["ids"], id_).alias("ids")))
+        return F.when(end == n, F.concat(acc, new)).when(score > F.get(acc, n - 1)["score"], F.concat(F.slice(acc, 1, n - 1), new)).otherwise(acc)
+
+    return F.element_at(F.aggregate(F.sort_array(edges), state, step), -1)["ids"]
 
-    return F.element_at(F.aggregate(F.array_sort(edges), state, step), -1)["ids"]
 
+#: A character without a piece has this and its code point for an id until the path is known.
+_UNKNOWN = 1 << 30
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words (distinct, columns word, n) with ids: array<int>."""
+
+def encode_words(words: DataFrame, pieces: Pieces, words_per_task: int = 15_000) -> DataFrame:
+    """words (distinct, column word; stored) with ids: array<int>.
+
+    The words are dealt to tasks once; explosion, join with the broadcast piece table and grouping stay inside of them.
+    A task has so few words that all their edges fit in its memory, so that grouping needs no sort.
+    """
     spark = words.sparkSession
-    # groups of edges that fit in memory stay in a hash map; more than these are sorted
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
-    longest = max(len(pieces.text[i]) for i in pieces.plain())
-    worst = min(pieces.score[i] for i in pieces.plain() if pieces.score[i] > -1e8) - 10.0
-    table_ = F.broadcast(piece_table(spark, pieces))
-    starts = words.select("word", "n", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("start"))
-    subs = starts.select("word", "n", "start", F.explode(F.expr(f"sequence(1, least({longest}, length(word) - start))")).alias("size"))
-    subs = subs.withColumn("piece", F.expr("substring(word, start + 1, size)"))
-    hits = subs.join(table_, "piece", "left").filter("id is not null or size = 1")
-    code = F.expr(f"transform(sequence(1, octet_length(piece)), i -> element_at(array({','.join(str(pieces.byte_ids.get(b, 0)) for b in range(256))}), cast(conv(substring(hex(piece), 2 * i - 1, 2), 16, 10) as int) + 1))")
-    ids = F.when(F.col("id").isNull(), code).otherwise(F.array("id"))
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("score", F.lit(worst)).alias("score"), ids.alias("ids"))
-    return hits.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("word", "n", viterbi(F.col("edges")).alias("ids"))
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * words_per_task))
+    n_tasks = max(1, -(-words.count() // words_per_task))
+    plain = pieces.plain()
+    longest = max(len(pieces.text[i]) for i in plain)
+    worst = min(pieces.score[i] for i in plain if pieces.score[i] > -1e8) - 10.0
+    table_ = F.broadcast(piece_table(spark, pieces).select(F.xxhash64("piece").alias("h"), F.col("piece").alias("known"), "id"))
+    starts = words.repartition(n_tasks, "word").select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("start"))
+    subs = starts.select("word", "start", F.explode(F.expr(f"sequence(1, least({longest}, length(word) - start))")).alias("size"))
+    subs = subs.withColumn("piece", F.expr("substring(word, start + 1, size)")).withColumn("h", F.xxhash64("piece"))
+    hits = subs.join(table_, (subs["h"] == table_["h"]) & (subs["piece"] == table_["known"]), "left").filter("id is not null or size = 1")
+    code = F.coalesce("id", F.ascii("piece") + _UNKNOWN).cast("long")
+    edge = F.shiftleft((F.col("start") + F.col("size")).cast("long"), 39).bitwiseOR(F.shiftleft((255 - F.col("size")).cast("long"), 31)).bitwiseOR(code)
+    scores = F.lit(np.array(pieces.score, np.float64))
+    score_of = lambda k: F.when(k < _UNKNOWN, F.get(scores, k)).otherwise(F.lit(worst))
+    paths = hits.groupBy("word").agg(F.collect_list(edge).alias("edges")).select("word", viterbi(F.col("edges"), score_of).alias("ids"))
+    byte_ids = F.array(*(F.lit(pieces.byte_ids.get(b, 0)) for b in range(256)))
+    spelt = F.flatten(F.transform("ids", lambda k: F.when(k < _UNKNOWN, F.array(k)).otherwise(F.transform(_utf8(k - _UNKNOWN), lambda b: F.element_at(byte_ids, b + 1)))))
+    return paths.select("word", F.when(F.exists("ids", lambda k: k >= _UNKNOWN), spelt).otherwise(F.col("ids")).alias("ids"))
+
+
+def _utf8(c: Column) -> Column:
+    """The bytes of a code point."""
+    tail = lambda shift: F.shiftright(c, shift).bitwiseAND(F.lit(63)) + 128
+    return (
+        F.when(c < 0x80, F.array(c))
+        .when(c < 0x800, F.array(F.shiftright(c, 6) + 0xC0, tail(0)))
+        .when(c < 0x10000, F.array(F.shiftright(c, 12) + 0xE0, tail(6), tail(0)))
+        .otherwise(F.array(F.shiftright(c, 18) + 0xF0, tail(12), tail(6), tail(0)))
+    )
 
 
 def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
 
 
-def encode(docs: DataFrame, pieces: Pieces, head: int = 300_000, column: str = "ids") -> DataFrame:
-    """docs (doc_id, text and others) with the ids of text as array<int>."""
+@dataclass
+class Head:
+    """Words by hash, with their ids end to end: some 25 bytes for a word."""
+
+    hashes: np.ndarray
+    begins: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, dtype) -> Head:
+        """rows: h, ids."""
+        lists = rows.column("ids").combine_chunks()
+        h = rows.column("h").to_numpy().view("u8")
+        order = np.argsort(h, kind="stable")
+        lists = lists.take(pa.array(order))
+        return cls(h[order], lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(dtype))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Each word's place, or -1."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+def encode(docs: DataFrame, pieces: Pieces, head: int = 4_000_000, column: str = "ids", finish=None, finish_schema: str | None = None) -> DataFrame:
+    """docs (doc_id, text and others) with the ids of text as array<int>. ``head``: words sent to all workers at most, the most frequent.
+
+    ``finish`` turns each encoded batch into another of ``finish_schema`` in the same worker.
+    """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2)
     docs = docs.drop(column)
-    words = store(encode_words(corpus_words(docs), pieces), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(head).select("word", F.transform("ids", lambda x: x).alias("ids")).toArrow()
-    name = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((pa.compute.cast(top.column("word"), pa.large_string()).combine_chunks(), top.column("ids").combine_chunks()))
+    columns, cut = docs.columns, Cutter(pieces)
+    counts = store(corpus_words(docs, pieces), "counts")
+    words = store(encode_words(counts, pieces), "words")
+    n_words = words.count()
+    top = words if n_words <= head else words.join(counts.orderBy(F.desc("n"), "word").limit(head).select("word"), "word", "left_semi")
+    dtype = np.uint16 if len(pieces.text) <= 1 << 16 else np.int32
+    sent = spark.sparkContext.broadcast(Head.of(top.select(F.xxhash64("word").alias("h"), "ids").toArrow(), dtype))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _head(name, sent)
+        """The words of each document that the head does not have."""
         for b in batches:
+            words, which, bounds = split_words(b.column("text"))
+            parts, codes, sizes = cut(words)
+            lost = sent.value.find(parts) < 0
+            word_of = np.repeat(np.arange(len(words)), sizes)
+            lacks: dict[int, list[int]] = {}
+            for w, k in zip(word_of[lost[codes]].tolist(), codes[lost[codes]].tolist(), strict=True):
+                lacks.setdefault(w, []).append(k)
+            has = np.zeros(len(words), bool)
+            has[list(lacks)] = True
+            which = which.to_numpy()
             owner, found = [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                new = set(words_of(t or "")) - known.keys()
+            for i in range(b.num_rows):
+                here = which[bounds[i] : bounds[i + 1]]
+                new = {k for w in np.unique(here[has[here]]).tolist() for k in lacks[w]}
                 owner += [i] * len(new)
                 found += sorted(new)
             if found:
                 at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("__did").take(at), b.column("__th").take(at), pa.array(found, pa.string())], names=["__did", "__th", "word"])
-
-    keyed = _key(docs)
-    tail = keyed.select("__did", "__th", "text").mapInArrow(rest, "__did long, __th long, word string")
-    met = tail.join(words.select("word", "ids"), "word").groupBy("__did", "__th").agg(F.collect_list(F.struct("word", "ids")).alias("__tail"))
-    columns = docs.columns
+                yield pa.RecordBatch.from_arrays([b.column("__did").take(at), b.column("__th").take(at), parts.take(pa.array(found, pa.int64())).cast(pa.string())], names=["__did", "__th", "word"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _head(name, sent)
+        kept_by_worker("pieces", dict)
+        known = sent.value
         for b in batches:
-            out, sizes = [], [0]
-            for t, tail in zip(b.column("text").to_pylist(), b.column("__tail").to_pylist(), strict=True):
-                own = {x["word"]: np.array(x["ids"], "<i4").tobytes() for x in tail or ()}
-                get, here = known.get, own.get
-                data = b"".join([get(w) or here(w) for w in words_of(t or "")])
-                out.append(data)
-                sizes.append(sizes[-1] + len(data) // 4)
-            ids = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.frombuffer(b"".join(out), "<i4")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), ids], names=[*columns, column])
-
-    return keyed.join(met, ["__did", "__th"], "left").select(*columns, "__tail").mapInArrow(write, T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))]))
-
-
-_HEADS: dict[str, dict[str, bytes]] = {}  # by worker process; one at a time
+            words, which, bounds = split_words(b.column("text"))
+            parts, codes, sizes = cut(words)
+            place = known.find(parts)
+            begins, ends = known.begins[place], known.begins[place + 1]
+            ids = known.ids
+            if (place < 0).any():  # these came with their documents
+                tail = {x["word"]: x["ids"] for t in b.column("__tail").to_pylist() for x in t or ()}
+                extra = [tail[parts[k].as_py()] for k in np.flatnonzero(place < 0).tolist()]
+                at = len(ids) + np.cumsum([0, *map(len, extra)])
+                ids = np.concatenate([ids, *(np.array(x, dtype) for x in extra)])
+                begins[place < 0], ends[place < 0] = at[:-1], at[1:]
+            n = ends - begins
+            own = np.concatenate([[0], np.cumsum(n)])
+            flat = pa.array(ids[np.arange(own[-1]) + np.repeat(begins - own[:-1], n)])  # the batch's parts end to end
+            per_part = pa.LargeListArray.from_arrays(pa.array(own), flat).take(pa.array(codes)).flatten()
+            word_ends = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(sizes)])]
+            lists = pa.LargeListArray.from_arrays(pa.array(word_ends), per_part)
+            ends = np.concatenate([[0], np.cumsum(np.diff(word_ends)[which.to_numpy()])])[bounds]
+            out = lists.take(which).flatten().cast(pa.int32())
+            made = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), out)], names=[*columns, column])
+            yield finish(made) if finish else made
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+    schema = finish_schema or schema
+    if n_words <= head:
+        return docs.mapInArrow(write, schema)
+    keyed = _key(docs)
+    tail = keyed.select("__did", "__th", "text").mapInArrow(rest, "__did long, __th long, word string")
+    met = tail.join(words, "word").groupBy("__did", "__th").agg(F.collect_list(F.struct("word", "ids")).alias("__tail"))
+    return keyed.join(met, ["__did", "__th"], "left").select(*columns, "__tail").mapInArrow(write, schema)
 
 
-def _head(name: str, sent) -> dict[str, bytes]:
-    if name not in _HEADS:
-        _HEADS.clear()
-        words, ids = sent.value
-        flat, ends = ids.values.to_numpy().astype("<i4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        _HEADS[name] = {w: flat[a:z] for w, a, z in zip(words.to_pylist(), ends, ends[1:], strict=False)}
-    return _HEADS[name]
+def decode_lists(lists: pa.Array, parts: list[bytes]) -> list[str]:
+    """The texts of lists of ids; ``parts``: what each id stands for."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    spelt, at = list(map(parts.__getitem__, lists.flatten().to_pylist())), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+    joined = (b"".join(spelt[a:z]) for a, z in zip(at, at[1:], strict=False))
+    return [(t[1:] if t[:1] == b" " else t).decode(errors="replace") for t in joined]
 
 
 def decode(docs: DataFrame, pieces: Pieces, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -205,29 +339,28 @@ def decode(docs: DataFrame, pieces: Pieces, column: str = "ids", out: str = "dec
     columns, parts = docs.columns, pieces.bytes_of()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = parts.__getitem__
         for b in batches:
-            texts = []
-            for ids in b.column(column):
-                t = b"".join(map(get, ids.values.to_numpy().tolist())) if ids.is_valid else b""
-                texts.append((t[1:] if t[:1] == b" " else t).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(decode_lists(b.column(column), parts), pa.string())], names=[*columns, out])
 
     return docs.mapInArrow(read, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def with_digest(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, n_pieces, n_byte_pieces, ids_crc32 (of little-endian 32-bit ids), decodes (to the text again)."""
-    bytes_ = np.array(sorted(pieces.byte_ids.values()))
+DIGEST = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decodes boolean"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [x.values.to_numpy().astype("<i4") for x in b.column("ids")]
-            cols = [[len(x) for x in rows], [int(np.isin(x, bytes_).sum()) for x in rows], [zlib.crc32(x.tobytes()) for x in rows]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), b.column("same")], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decodes"])
 
-    seen = decode(docs, pieces).select("doc_id", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
-    return seen.mapInArrow(digest, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decodes boolean")
+def digest_of(pieces: Pieces):
+    """A function from encoded batches to DIGEST: counts, the checksum of little-endian 32-bit ids, and whether they decode to the text again."""
+    bytes_, parts = np.array(sorted(pieces.byte_ids.values())), pieces.bytes_of()
+
+    def digest(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column("ids")
+        ids, at = lists.flatten().to_numpy().astype("<i4"), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+        spelt = np.concatenate([[0], np.cumsum(np.isin(ids, bytes_))])
+        cols = [np.diff(at), spelt[at[1:]] - spelt[at[:-1]], [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)]]
+        same = pc.equal(pc.fill_null(b.column("text").cast(pa.string()), ""), pa.array(decode_lists(lists, parts), pa.string()))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), same], names=[x.split()[0] for x in DIGEST.split(", ")])
+
+    return digest
 
 
 def model_path() -> str:
@@ -238,4 +371,4 @@ def model_path() -> str:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = Pieces.load(model_path())
-    return with_digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, finish=digest_of(pieces), finish_schema=DIGEST)
