@@ -292,7 +292,7 @@ def f(key: str, expr: str, sql: str, kind: str = "s", table: str = "part", k: st
 
 
 f("FN01", "substr(p_name, 2, 4)", "substr(p_name, 2, 4)")
-f("FN02", "scan(p_type, 2, ' ')", "coalesce(list_filter(string_split(p_type, ' '), x -> x <> '')[2], '')")
+f("FN02", "scan(p_type, 2, ' ')", "coalesce(list_filter(string_split(p_type, ' '), lambda x: x <> '')[2], '')")
 f("FN03", "compress(p_name, 'aei')", "translate(p_name, 'aei', '')")
 f("FN04", "upcase(p_name)", "upper(p_name)")
 f("FN05", "lowcase(p_type)", "lower(p_type)")
@@ -316,7 +316,7 @@ f("FN22", "coalescec(case when p_size > 25 then '' else p_name end, 'none')", "c
 f("FN23", "prxmatch('/[aeiou]{2}/i', p_name)", "case when regexp_extract(p_name, '(?i)[aeiou]{2}') = '' then 0 else instr(p_name, regexp_extract(p_name, '(?i)[aeiou]{2}')) end", "i")
 f("FN24", "prxchange('s/([aeiou])(.)/$2$1/', 1, p_name)", "regexp_replace(p_name, '([aeiou])(.)', '\\2\\1')")
 f("FN25", "propcase('hello big-world ' || p_size)", "'Hello Big-World ' || p_size")
-f("FN26", "countw(p_type)", "len(list_filter(string_split(p_type, ' '), x -> x <> ''))", "i")
+f("FN26", "countw(p_type)", "len(list_filter(string_split(p_type, ' '), lambda x: x <> ''))", "i")
 f("FN27", "verify(p_brand, 'Brand#')", "case when length(ltrim(p_brand, 'Brand#')) = 0 then 0 else length(p_brand) - length(ltrim(p_brand, 'Brand#')) + 1 end", "i")
 f("FN28", "substrn(p_name, 3)", "substr(p_name, 3)")
 f("FN29", "translate(p_name, 'xyz', 'abc')", "translate(p_name, 'abc', 'xyz')")
@@ -375,7 +375,7 @@ f("FN78", "datedif('01JAN1992'd, datepart(o_orderdate), 'MONTH')", "(year(o_orde
 f("FN79", "hour(datepart(o_orderdate) * 86400 + 7322)", "2", **_D)
 f("FN80", "minute(datepart(o_orderdate) * 86400 + 7322)", "2", **_D)
 f("FN81", "input(put(o_totalprice, 12.2), comma12.)", "round(o_totalprice, 2)", kind="d", table="orders", k="o_orderkey")
-f("FN82", "put(datepart(o_orderdate), date9.) || '|' || strip(put(o_totalprice, 12.1))", "upper(strftime(o_orderdate, '%d%b%Y')) || '|' || printf('%.1f', o_totalprice)", table="orders", k="o_orderkey")
+f("FN82", "put(datepart(o_orderdate), date9.) || '|' || strip(put(o_totalprice, 12.2))", "upper(strftime(o_orderdate, '%d%b%Y')) || '|' || printf('%.2f', o_totalprice)", table="orders", k="o_orderkey")
 f("FN83", "putn(datepart(o_orderdate), 'yymmdd10.')", "strftime(o_orderdate, '%Y-%m-%d')", table="orders", k="o_orderkey")
 f("FN84", "ifc(o_totalprice > 100000, 'hi', 'lo')", "case when o_totalprice > 100000 then 'hi' else 'lo' end", table="orders", k="o_orderkey")
 f("FN85", "ifn(o_totalprice > 100000, 1, 2)", "case when o_totalprice > 100000 then 1 else 2 end", **_D)
@@ -394,6 +394,15 @@ q("MC09", "k:i", "%macro m; %let k = 1; %goto done; %let k = 2; %done: data out;
 q("MC15", "n:i", "proc sql noprint; select max(o_orderkey) into :mx from orders; quit; %let half = %sysevalf(&mx / 2, integer); proc sql; create table out as select count(*) as n from orders where o_orderkey <= &half; quit;", "select count(*) as n from orders where o_orderkey <= (select floor(max(o_orderkey) / 2) from orders)")
 
 
+q("MC03", "k:i", "%macro inner(a); %let r = %eval(&a * 2); %mend; %macro outer; %local r; %let r = 1; %inner(4) data out; k = &r; run; %mend; %outer", "select 8 as k")
+q("MC12", "k:i", "%* a comment with ; /* another; */ * and one more; data out; k = 1; /* inside */ run;", "select 1 as k")
+q("MC13", "ok:i", "data out; ok = (length(\"&sysdate9\") = 9); run;", "select 1 as ok")
+q("IO14", "a:i b:s", "data out; input a b $; datalines4;\n1 x\n2 y\n;;;;\nrun;", "select * from (values (1, 'x'), (2, 'y')) as t(a, b)")
+q("IO22", "k:i", "data a; set region; run; proc sort; by r_regionkey; run; data out; set _last_; k = r_regionkey; keep k; run;", "select r_regionkey as k from region")
+q("DS36", "n_nationkey:i a:s b:s", "data out; set nation; label n_name = 'Name of it'; format n_regionkey 5.1; a = vlabel(n_name); b = strip(vvalue(n_regionkey)); keep n_nationkey a b; run;", "select n_nationkey, 'Name of it' as a, n_regionkey || '.0' as b from nation")
+q("PR22", "percent:i event_type:s estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; ods output quartiles=out; proc lifetest data=e; time t*c(1); strata event_type; run;", None)
+
+
 def queries() -> dict:
     return {x.key: x.run for x in ALL}
 
