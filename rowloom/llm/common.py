@@ -33,7 +33,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 1) -> None:
     """Arrow batches are cut by bytes too, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, kept_by_worker, table
 
 PIECE = 24
 _LETTER = re.compile(r"[^\W\d_]")
@@ -164,7 +164,7 @@ class ByteGRU:
 class Pooler:
     """Documents' probabilities from words' sums; keeps those of ``keep`` words."""
 
-    def __init__(self, net: ByteGRU, keep: int = 400_000):
+    def __init__(self, net: ByteGRU, keep: int = 250_000):
         self.net, self.keep = net, keep
         self.index: dict[bytes, int] = {}
         self.table = np.zeros((0, len(net.languages)), np.float32)
@@ -203,9 +203,6 @@ def learn(docs: DataFrame, train_docs: int = 1500, train_words: int = 40_000, st
     return net
 
 
-_POOLERS: dict[str, Pooler] = {}  # by worker process; one at a time
-
-
 def predict(docs: DataFrame, net: ByteGRU | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns (which replace columns of their names)."""
     spark = docs.sparkSession
@@ -217,13 +214,11 @@ def predict(docs: DataFrame, net: ByteGRU | None, pred: str = "lang_pred", score
     key = str(hash((spark.sparkContext.applicationId, *(v.tobytes() for v in net.p.values()))))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _POOLERS:
-            _POOLERS.clear()
-            _POOLERS[key] = Pooler(net)
+        pooler = kept_by_worker(("pooler", key), lambda: Pooler(net))
         for b in batches:
             texts = b.column("text").to_pylist()
             has = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
-            p = _POOLERS[key].pool([pieces_of(t) for t in texts])
+            p = pooler.pool([pieces_of(t) for t in texts])
             best = p.argmax(1)
             names = [net.languages[k] if ok and s.any() else "und" for k, ok, s in zip(best, has, p, strict=True)]
             scores = np.where([x == "und" for x in names], 0.0, np.clip(p.max(1), 0, 1))

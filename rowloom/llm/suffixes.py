@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from .common import bounded_batches, byte_texts, store, table
+from .common import bounded_batches, byte_texts, kept_by_worker, store, table
 
 M, W, T = 3, 30, 20
 LEAST = 50
@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 0)
         return h
@@ -90,9 +90,6 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, gram_hashes(h, T)[places]
 
 
-_HASHES = WordHashes()  # by worker process
-
-
 def own_repeats(h: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     """Which kept suffixes are the first of their T words in the text, and the spans that repeat an earlier place of the text itself."""
     order = np.lexsort((places, hashes))
@@ -122,10 +119,11 @@ ANCHORS = "did long, th int, at int, h long, end int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = kept_by_worker("hashes", WordHashes)
     for b in batches:
         rows, at, hashes, ends = [], [], [], []
         for i, t in enumerate(byte_texts(b)):
-            h = _HASHES.of((t or b"").split())
+            h = known.of((t or b"").split())
             places, of = anchors(h)
             if not len(places):
                 continue
@@ -147,11 +145,12 @@ CONTEXT = "did long, th int, at int, side int, words array<long>"
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The W words before (side 0, nearest first) or from (side 1) each asked place."""
+    known = kept_by_worker("hashes", WordHashes)
     for b in batches:
         rows = []
         for did, th, asked, text in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("asked").to_pylist(), byte_texts(b), strict=True):
             if asked:
-                h = _HASHES.of((text or b"").split()).view("i8")
+                h = known.of((text or b"").split()).view("i8")
                 rows += [(did, th, a["at"], a["side"], h[a["at"] : a["at"] + W] if a["side"] else h[max(0, a["at"] - W) : a["at"]][::-1]) for a in asked]
         if rows:
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, prefix_offsets, shared_dir, table
+from .common import bounded_batches, kept_by_worker, prefix_offsets, shared_dir, table
 
 SEGMENTS = "part int, seq int, n_docs long, n_tokens long, width int, doc_ids array<long>, bounds binary, ids binary"
 
@@ -110,7 +110,7 @@ class WordCoder:
     frequent ones stay.
     """
 
-    def __init__(self, path: str, width: int, keep: int = 600_000):
+    def __init__(self, path: str, width: int, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -193,9 +193,6 @@ class WordCoder:
         return (ids, counts) if end is None else (np.insert(ids, bounds[1:], end), counts + 1)
 
 
-_CODERS: dict[tuple, WordCoder] = {}  # by worker process
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, segment_tokens: int = 1 << 20) -> None:
     """Encode docs (doc_id, text) and write segments under ``path``. ``tokenizer``: a file that each worker can open."""
     from tokenizers import Tokenizer
@@ -203,10 +200,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1)
     width = 2 if top <= 1 << 16 else 4
     spark = docs.sparkSession
-    bounded_batches(spark, 16)
+    bounded_batches(spark, 6)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _CODERS.get((tokenizer, width)) or _CODERS.setdefault((tokenizer, width), WordCoder(tokenizer, width))
+        coder = kept_by_worker(("coder", tokenizer, width), lambda: WordCoder(tokenizer, width))
         part, seq = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
