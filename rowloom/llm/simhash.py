@@ -11,8 +11,8 @@ A shard of more than ``most`` nodes (near copies that differ little) is dealt ag
 which one must agree, and again, so a tree has at most 2^14 nodes, or ``most`` if that is more.
 
 Defined cases: null or empty text, or one of white space only, has fingerprint zero and links as any other; fewer
-words than a shingle make one shingle; rows with equal doc_ids each keep their row; null doc_ids join classes but
-name none unless alone in it; a table without rows gives none; other columns are not looked at.
+words than a shingle make one shingle; rows with equal doc_ids each get their row (``keep_one`` keeps one row of a class,
+whatever their ids); null doc_ids join classes but name none unless alone in it; a table without rows gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, byte_texts, store, table
@@ -47,16 +47,22 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id (and th, if docs have it), fp (the 64 bits as a signed long)."""
+    also = [c for c in docs.columns if c == "th"]
     bounded_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in byte_texts(b)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *also)), pa.array(fp)], names=["doc_id", *also, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", *also, "text").mapInArrow(of, ", ".join(f"{c} long" for c in ("doc_id", *also, "fp")))
 
 
 class BKTree:
@@ -176,22 +182,37 @@ def _shard_links(shards: DataFrame, radius: int = 2) -> DataFrame:
     return shards.select("way", "key", "fp").repartition("way", "key").sortWithinPartitions("way", "key").mapInArrow(of, "a long, b long")
 
 
-def near_classes(docs: DataFrame, shingle: int = 3, most: int = 4096) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs (doc_id, text)."""
+def _rooted(docs: DataFrame, shingle: int, most: int) -> DataFrame:
+    """The fingerprints of docs with root (of the class) and component_id."""
     fps = store(fingerprints(docs, shingle), "fp")
     nodes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     linked = components(near_links(nodes.select("fp"), most))
     roots = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = store(roots.join(named, "root").select("fp", "component_id"), "classes")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = store(roots.join(named, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(ids, "fp")
+
+
+def near_classes(docs: DataFrame, shingle: int = 3, most: int = 4096) -> DataFrame:
+    """doc_id, fp, component_id for each row of docs (doc_id, text)."""
+    return _rooted(docs.select("doc_id", "text"), shingle, most).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with one row of each class (classes: doc_id, th, root for each row): the least doc_id, null ones last, then the least text hash.
+
+    A class follows from the text, so the kept id and text name rows of one class only; of equal ones the first stays.
+    """
+    least = classes.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("k"))
+    least = least.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__kept"))
+    rows = docs.withColumn("__th", text_hash())
+    kept = rows.join(least, rows["doc_id"].eqNullSafe(least["__id"]) & (rows["__th"] == least["__kept"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs with one document of each class: that of the smallest doc_id (should rows share that id, they stay together)."""
-    first = near_classes(docs, shingle).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    return kept
+    """docs with one row of each class: that of the smallest doc_id."""
+    return one_of_each(docs, _rooted(docs.select("doc_id", text_hash().alias("th"), "text"), shingle, 4096))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
