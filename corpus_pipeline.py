@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, pieces, simhash, suffixes
+from rowloom.llm import decontaminate, langid, pieces, similar, suffixes
 from rowloom.llm.common import store, table
 
 
@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints stays."""
-    return simhash.keep_one(docs)
+    """One document of each class of near copies stays (5-word shingles, a Jaccard of 0.8 or more)."""
+    return similar.keep_one_similar(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
