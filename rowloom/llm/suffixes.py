@@ -8,8 +8,11 @@ words or more (LEAST) is a repeat of an earlier passage. A text's repeats of its
 only the first of equal suffixes of a text meets those of others. W + T is 50, so any repeated passage of 50 words has a minimiser whose
 T words lie inside, no more than W - 1 words from its start and from its end; W words to either side complete it.
 
-What stays: where a repeated passage reaches fewer than W words beyond a passage that a third, still earlier document has,
-these few words may find no match of their own and stay. Nothing that is not a repeat of 50 words ever goes.
+The first of a run need not be the place that shares most. So where a run has three places or more, its places are also compared
+by whole windows of 50 words: those around its suffixes that no span has explained yet. A window's place is explained only if an earlier one
+has the same words, so the earliest place of any window is asked too, and equal windows meet by their hash. To keep their number small,
+first their common cores of 43 words meet, one for each 8 windows; only windows whose core stands in two places are looked at.
+So all words inside a passage of 50 that an earlier place has go, and no others.
 
 Words are compared by 64-bit hashes. A passage's first occurrence stays; at least one copy of every passage stays,
 since a span is only ever removed in favour of an earlier place.
@@ -114,14 +117,14 @@ def own_repeats(h: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[
     return first, union_spans(spans)
 
 
-#: A row is a kept suffix, or with ``end`` a span that repeats an earlier place of its own text.
-ANCHORS = "did long, th int, at int, h long, end int"
+#: A row is a kept suffix that n places of its text have, or with ``end`` a span that repeats an earlier place of its own text.
+ANCHORS = "did long, th int, at int, h long, end int, n int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = kept_by_worker("hashes", WordHashes)
     for b in batches:
-        rows, at, hashes, ends = [], [], [], []
+        rows, at, hashes, ends, counts = [], [], [], [], []
         for i, t in enumerate(byte_texts(b)):
             h = known.of((t or b"").split())
             places, of = anchors(h)
@@ -133,10 +136,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += [places[first], np.array([a for a, _ in spans], np.int64)]
             hashes += [of[first], np.zeros(len(spans), np.uint64)]
             ends += [np.full(n, -1), np.array([z for _, z in spans], np.int64)]
+            _, which, many = np.unique(of, return_inverse=True, return_counts=True)
+            counts += [many[which][first], np.zeros(len(spans), np.int64)]
         if rows:
             take = lambda c: b.column(c).take(pa.array(rows))  # noqa: E731, B023
             end = np.concatenate(ends)
-            cols = [take("did"), take("th"), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes).view("i8")), pa.array(end.astype(np.int32), mask=end < 0)]
+            cols = [take("did"), take("th"), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes).view("i8")), pa.array(end.astype(np.int32), mask=end < 0), pa.array(np.concatenate(counts).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ANCHORS.split(", ")])
 
 
@@ -157,6 +162,61 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["did", "th", "at", "side", "words"])
 
 
+#: Windows of LEAST words whose distance to their minimiser has the same quotient by STEP share a core.
+STEP = 8
+CORE = LEAST - STEP + 1
+
+
+def unexplained(h: np.ndarray, asked: list[int], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of a text whose minimiser's suffix is one of those at ``asked`` and that are in none of the spans; their cores' hashes and starts."""
+    none = np.empty(0, np.int64)
+    if len(h) < LEAST:
+        return none, none, none
+    order = gram_hashes(h, M)
+    windows = np.lib.stride_tricks.sliding_window_view(order, W)[: len(h) - LEAST + 1]
+    at = np.concatenate([windows[i : i + 65536].argmin(1) + np.arange(i, min(i + 65536, len(windows))) for i in range(0, len(windows), 65536)])
+    known = np.zeros(len(at) + 1, np.int64)
+    for a, z in spans:
+        if z - a >= LEAST:
+            known[a] += 1
+            known[z - LEAST + 1] -= 1
+    suffix = gram_hashes(h, T)
+    starts = np.flatnonzero(np.isin(suffix[at], suffix[asked]) & (np.cumsum(known)[:-1] == 0))
+    step = (at[starts] - starts) // STEP
+    begins = at[starts] - STEP * step
+    return starts, _mix(gram_hashes(h, CORE)[begins] + step.astype(np.uint64)).view("i8"), begins
+
+
+CORES = "did long, th int, at int, core long"
+WINDOWS = "did long, th int, at int, h long"
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cores of each document's unexplained windows; where the batch has ``cores``, the windows of these."""
+    known = kept_by_worker("hashes", WordHashes)
+    for b in batches:
+        whole = "cores" in b.schema.names
+        asks, sure, texts = b.column("asked").to_pylist(), b.column("sure").to_pylist(), byte_texts(b)
+        rows, at, hashes = [], [], []
+        for i, text in enumerate(texts):
+            h = known.of((text or b"").split())
+            starts, cores, begins = unexplained(h, asks[i], [(x["start"], x["end"]) for x in sure[i] or ()])
+            if not len(starts):
+                continue
+            if whole:
+                starts = starts[np.isin(cores, b.column("cores")[i].values.to_numpy())]
+                at.append(starts)
+                hashes.append(gram_hashes(h, LEAST)[starts].view("i8"))
+            else:
+                pick = np.flatnonzero(np.concatenate([[True], (np.diff(begins) != 0) | (np.diff(cores) != 0)]))  # a core's windows follow each other
+                at.append(begins[pick])
+                hashes.append(cores[pick])
+            rows += [i] * len(at[-1])
+        if rows:
+            cols = [b.column(c).take(pa.array(rows)) for c in ("did", "th")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes))], names=["did", "th", "at", "h" if whole else "core"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with did and th, which name a document and are never null."""
     return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.hash("text")})
@@ -168,9 +228,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "text"))
     kept = store(keyed.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     own = kept.filter("end is not null").select("did", "th", F.col("did").alias("first_did"), F.col("at").alias("start"), "end")
-    found = kept.filter("end is null").select("did", "th", "at", "h")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    runs = store(found.join(twice, "h"), "runs")
+    found = kept.filter("end is null").select("did", "th", "at", "h", "n")
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("places")).filter("rows > 1 or places > 2").select("h", (F.col("places") > 2).alias("more"))
+    runs = store(found.drop("n").join(twice, "h"), "runs")
     first = runs.groupBy("h").agg(F.min(F.struct("did", "th", "at")).alias("f")).select("h", F.col("f.did").alias("fd"), F.col("f.th").alias("ft"), F.col("f.at").alias("fa"))
     later = runs.join(first, "h").filter("not (did = fd and th = ft and at = fa)").select("did", "th", "at", "fd", "ft", (F.col("at") - F.col("fa")).alias("shift"))
     # matches of one document with one other at one distance, no further apart than they reach, are one span (a repeated row's matches coincide)
@@ -191,7 +251,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     more = F.when(differs > 0, differs - 1).otherwise(F.size("w1")).cast("int")
     grown = both.groupBy("did", "th", "fd", "ft", "shift", "start", "end").agg(F.max(F.when(F.col("side") == 0, more)).alias("left"), F.max(F.when(F.col("side") == 1, more)).alias("right"))
     grown = grown.select("did", "th", F.col("fd").alias("first_did"), (F.col("start") - F.col("left")).cast("int").alias("start"), (F.col("end") + F.col("right")).cast("int").alias("end"))
-    return grown.filter(F.col("end") - F.col("start") >= LEAST).unionByName(own)
+    sure = store(grown.filter(F.col("end") - F.col("start") >= LEAST).unionByName(own), "sure")
+    return sure.unionByName(_others(keyed, runs.filter("more"), sure))
+
+
+def _others(keyed: DataFrame, runs: DataFrame, sure: DataFrame) -> DataFrame:
+    """What the comparison with the first of each run has missed, in rows as ``repeats`` has them."""
+    asked = runs.groupBy("did", "th").agg(F.collect_set("at").alias("asked"))
+    spans = sure.groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("sure"))
+    asked = store(asked.join(spans, ["did", "th"], "left"), "asked")
+    place = F.xxhash64("did", "th", "at")
+    cores = store(keyed.join(asked, ["did", "th"]).select("did", "th", "asked", "sure", "text").mapInArrow(_window_rows, CORES), "cores")
+    shared = cores.groupBy("core").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi").select("core")
+    shared = cores.join(shared, "core").groupBy("did", "th").agg(F.collect_set("core").alias("cores"))
+    asked = store(asked.join(shared, ["did", "th"]), "asked")
+    windows = store(keyed.join(asked, ["did", "th"]).select("did", "th", "asked", "sure", "cores", "text").mapInArrow(_window_rows, WINDOWS), "windows")
+    first = windows.groupBy("h").agg(F.min(F.struct("did", "th", "at")).alias("f"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi").select("h", F.col("f.did").alias("first_did"), F.col("f.th").alias("ft"), F.col("f.at").alias("fa"))
+    later = windows.join(first, "h").filter("not (did = first_did and th = ft and at = fa)")
+    return later.select("did", "th", "first_did", F.col("at").alias("start"), (F.col("at") + LEAST).alias("end"))
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
