@@ -183,20 +183,22 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 8, most_words: int = 2
     return df
 
 
-def cut_spans(text: bytes, hit: np.ndarray, least: int) -> bytes:
-    """The text without its runs of at least ``least`` hit words."""
+def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
+    """The text without its runs of hit words."""
     places = [m.span() for m in _WORD.finditer(text.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     out, at = [], 0
     for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if z - a >= least:
-            out.append(text[at : places[a][0]])
-            at = places[z - 1][1]
+        out.append(text[at : places[a][0]])
+        at = places[z - 1][1]
     return b"".join([*out, text[at:]])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_span: int = 8, max_coverage: float = 0.5, most_words: int = 2_000_000) -> DataFrame:
-    """docs without what test items share with them: hit spans of at least ``min_span`` words (whole short items too) leave the text; documents with more than ``max_coverage`` of their words hit go."""
+    """docs without what test items share with them: all hit spans leave the text, those of whole short items whatever their length; documents with more than ``max_coverage`` of their words hit go.
+
+    ``min_span`` counts as ``window`` at most, so every run of windows has it, and shorter runs are short items: no hit stays.
+    """
     columns = docs.columns
     found = scan(docs, items, window, most_words).filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
 
@@ -206,7 +208,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_span:
             for i, bits in enumerate(b.column("hit_bits").to_pylist()):
                 if bits is not None:
                     n = b.column("n_words")[i].as_py()
-                    texts[i] = cut_spans(texts[i], np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool), min(min_span, window))
+                    texts[i] = cut_spans(texts[i], np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
             new = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([new if c == "text" else b.column(c) for c in columns], names=columns)
 
