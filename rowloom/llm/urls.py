@@ -2,8 +2,9 @@
 
 A page's host and path are taken from its url. The longest rule that fits decides. Hosts without a rule get two scores
 by personalised PageRank: trust spreads along links from the hosts that the rules allow, distrust spreads against
-links from the hosts that they block (who links to a blocked host is distrusted). A host is blocked if its distrust
-is above ``floor`` and above ``ratio`` times its trust. Mass at a host without links in the walked direction is lost,
+links from the hosts that they block (who links to a blocked host is distrusted). A host is blocked if it has
+distrust, and more than ``ratio`` times its trust. The steps go on until no host's score changes by more than ``tolerance`` of itself,
+so scores reach as far as links do, and no bound depends on the size of the table. Mass at a host without links in the walked direction is lost,
 for both scores alike.
 
 Defined cases: null url, or one without ``://``: host and path are empty, no rule fits, verdict ``allow`` unless links
@@ -14,6 +15,8 @@ Edges are counted before they are shuffled, so a host with a third of the pages
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +62,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
-    """seeds: host, kind (trust or distrust), seed (sums to 1 by kind). Returns host, kind, score.
+def host_scores(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """seeds: host, kind (trust or distrust), seed (sums to 1 by kind). Returns host, kind, score, after ``steps`` or (None) when all have settled.
 
     Trust walks the edges, distrust walks them backwards; both go in one pass per step.
     """
@@ -70,17 +73,23 @@ def host_scores(edges: DataFrame, seeds: DataFrame, steps: int = 10, damping: fl
     out = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
     walk = store(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("p")), "walk")
     seeds = store(seeds, "seeds")
-    now = seeds.withColumnRenamed("seed", "score")
+    now = last = seeds.withColumnRenamed("seed", "score")
     if walk.isEmpty():  # no link leaves its host: every step gives the seeds' own share again
         return now.withColumn("score", F.col("score") * (1 - damping))
-    for k in range(steps):
+    for k in count() if steps is None else range(steps):
         sent = walk.join(now.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         now = seeds.join(sent, ["kind", "host"], "full").select("host", "kind", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.coalesce("seed", F.lit(0.0))).alias("score"))
-        now = store(now, f"rank{k}")
+        before, now = last, store(now, f"rank{k}")
+        if steps is None:
+            old = before.select("kind", "host", F.col("score").alias("old"))
+            change = F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) > tolerance * F.col("score")
+            if now.join(old, ["kind", "host"], "left").filter(change).isEmpty():
+                break
+        last = now
     return now
 
 
-def judge_urls(pages: DataFrame, rules=RULES, steps: int = 10, ratio: float = 1.0, floor: float = 1e-9) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, steps: int | None = None, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages (page_id, url, html)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
@@ -91,7 +100,7 @@ def judge_urls(pages: DataFrame, rules=RULES, steps: int = 10, ratio: float = 1.
     scores = host_scores(host_edges(pages), seeds, steps)
     by_host = scores.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("said", F.when((d > floor) & (d > ratio * t) & (F.col("host") != ""), "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when((d > 0) & (d > ratio * t) & (F.col("host") != ""), "block").otherwise("allow"))
     return judged.join(by_host, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), t.alias("trust"), d.alias("distrust"))
 
 
