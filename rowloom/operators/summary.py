@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantile import percentiles, same_group
+
 STATISTICS = ("n", "nmiss", "mean", "sum", "min", "max", "std", "var", "stderr", "range", "median", "q1", "q3", "p1", "p5", "p10", "p25", "p50", "p75", "p90", "p95", "p99", "cv", "css", "uss", "skewness", "kurtosis")
 
 
-def _percentile(x: Column, p: float) -> Column:
-    return F.percentile(x, F.lit(p))  # exact, with linear interpolation
+_POINTS = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+_SAME = {"p25": "q1", "p50": "median", "p75": "q3", "stddev": "std", "avg": "mean"}
+
+
+def point(name: str) -> float | None:
+    """Which percentile a statistic is, from 0 to 1; None: another statistic."""
+    name = _SAME.get(name, name)
+    return int(name[1:]) / 100 if name[0] == "p" and name[1:].isdigit() else _POINTS.get(name)
 
 
 def statistic(name: str, x: Column) -> Column:
-    """An aggregate by its name; x is a double."""
+    """An aggregate by its name (no percentile); x is a double."""
     n = F.count(x).cast("double")
     made = {
         "n": lambda: F.count(x),
@@ -26,10 +34,6 @@ def statistic(name: str, x: Column) -> Column:
         "var": lambda: F.var_samp(x),
         "stderr": lambda: F.stddev_samp(x) / F.sqrt(n),
         "range": lambda: F.max(x) - F.min(x),
-        "median": lambda: _percentile(x, 0.5),
-        "q1": lambda: _percentile(x, 0.25),
-        "q3": lambda: _percentile(x, 0.75),
-        "qrange": lambda: _percentile(x, 0.75) - _percentile(x, 0.25),
         "cv": lambda: F.try_divide(100 * F.stddev_samp(x), F.avg(x)),
         "css": lambda: F.var_pop(x) * n,
         "uss": lambda: F.sum(x * x),
@@ -37,16 +41,19 @@ def statistic(name: str, x: Column) -> Column:
         "skewness": lambda: F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)),
         "kurtosis": lambda: F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))),
     }
-    name = {"p25": "q1", "p50": "median", "p75": "q3", "stddev": "std", "avg": "mean"}.get(name, name)
-    if name not in made and name[0] == "p" and name[1:].isdigit():
-        return _percentile(x, int(name[1:]) / 100)
-    return made[name]()
+    return made[_SAME.get(name, name)]()
 
 
 def means(df: DataFrame, by: list[str], outputs: list[tuple[str, str, str]]) -> DataFrame:
     """One row for each combination of by values (missing ones are values too); outputs: (statistic, variable, name)."""
-    aggs = [statistic(s, F.col(v).cast("double")).alias(n) for s, v, n in outputs]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    aggs = [statistic(s, F.col(v).cast("double")).alias(n) for s, v, n in outputs if s != "qrange" and point(s) is None]
+    wanted = [(n, v, point(s)) for s, v, n in outputs if point(s) is not None]
+    wanted += [(f"__{q}_{n}", v, q / 100) for s, v, n in outputs if s == "qrange" for q in (25, 75)]
+    plain = df.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("__n")])) if by else df.agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+    if not wanted:
+        return plain
+    whole = same_group(plain, percentiles(df, by, wanted), by, "left")
+    return whole.select(*by, *((F.col(f"__75_{n}") - F.col(f"__25_{n}")).alias(n) if s == "qrange" else F.col(n) for s, _, n in outputs))
 
 
 def means_long(df: DataFrame, by: list[str], variables: list[str], stats: list[str]) -> DataFrame:

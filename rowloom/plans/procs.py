@@ -14,6 +14,7 @@ from ..lang.lexer import ProgramError
 from ..lang.program import by_list, format_list, labels
 from ..lang.sql import dataset_options, dotted
 from ..operators import reshape, summary
+from ..operators.quantile import same_group
 from . import compile as C
 from .dataset import OBS, Dataset, Variable, number, with_obs
 
@@ -458,7 +459,11 @@ def report(engine, step):
                 use.setdefault(name, "analysis")
     groups = [c for c in columns if use.get(c) == "group"]
     if groups:
-        df = d.visible.groupBy(*groups).agg(*(summary.statistic(stat.get(c, "sum"), F.col(c).cast("double")).alias(c) if use.get(c) == "analysis" or isinstance(d.df.schema[c].dataType, T.NumericType) else F.first(c).alias(c) for c in columns if c not in groups)).select(*columns)
+        summed = [c for c in columns if c not in groups and (use.get(c) == "analysis" or isinstance(d.df.schema[c].dataType, T.NumericType))]
+        df = summary.means(d.visible, groups, [(stat.get(c, "sum"), c, c) for c in summed])
+        if plain := [c for c in columns if c not in groups and c not in summed]:
+            df = same_group(df, d.visible.groupBy(*groups).agg(*(F.first(c).alias(c) for c in plain)), groups)
+        df = df.select(*columns)
         order = [(g, False) for g in groups]
     else:
         df = d.visible.select(*columns)
