@@ -6,11 +6,13 @@ words in content lines are at least ``least_content`` of its words.
 
 The field's weights maximise the likelihood of lines of a bounded sample of rated documents (``train_docs`` of each
 rating, those whose ids hash lowest, whole texts): lines of well rated documents are content, those of badly rated ones
-boilerplate. Gradients come from forward-backward sums in numpy.
+boilerplate. As ratings are of whole documents, half of the chains are spliced: runs of lines of the other kind are put into
+a document, so labels change inside of chains and the field learns what a change costs. Gradients come from forward-backward sums in numpy.
 
 Defined cases: null or empty text has no words and fails the base rules; text without line ends is one line; ratings
 that are null or of unknown documents are not used; a document rated twice counts by its lower rating; without
-ratings of both kinds, the base rules alone decide; repeated rows each get their row; other columns are not looked at.
+ratings of both kinds, the base rules alone decide; repeated rows each get their row; null doc_ids are rows like others; very long
+texts are one chain (13 numbers and a label for each line); a table without rows gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -163,15 +165,31 @@ class LineCRF:
         return score, g_emit, g_step
 
 
+def spliced(x: np.ndarray, y: int, others: list[np.ndarray], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A chain of lines of one kind with one or two runs of lines of the other kind put in, and the labels."""
+    labels = np.full(len(x), y)
+    for _ in range(r.integers(1, 3)):
+        z = others[r.integers(len(others))]
+        n = int(r.integers(1, min(len(z), 8) + 1))
+        first, at = int(r.integers(len(z) - n + 1)), int(r.integers(len(x) + 1))
+        x = np.concatenate([x[:at], z[first : first + n], x[at:]])
+        labels = np.concatenate([labels[:at], np.full(n, 1 - y), labels[at:]])
+    return x, labels
+
+
 def fit(docs: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-3, most_lines: int = 64, seed: int = 0) -> LineCRF:
-    """docs: features of a document's lines, and 1 for content. Long documents are cut to chains of ``most_lines`` lines; each chain's gradient is a mean over its lines."""
+    """docs: features of a document's lines, and 1 for content. Long documents are cut to chains of ``most_lines`` lines, of which half are spliced; each chain's gradient is a mean over its lines."""
     crf = LineCRF(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
     chains = [(x[i : i + most_lines], y) for x, y in docs for i in range(0, len(x), most_lines)]
+    kinds = [[x for x, y in chains if y == k] for k in (0, 1)]
     r, se, ss = np.random.default_rng(seed), np.full((FEATURES, 2), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(epochs):
         for i in r.permutation(len(chains)):
             x, y = chains[i]
-            _, ge, gs = crf.gradient(x, np.full(len(x), y))
+            labels = np.full(len(x), y)
+            if kinds[1 - y] and r.random() < 0.5:
+                x, labels = spliced(x, y, kinds[1 - y], r)
+            _, ge, gs = crf.gradient(x, labels)
             ge, gs = ge / len(x) - decay * crf.emit, gs / len(x) - decay * crf.step
             se, ss = se + ge * ge, ss + gs * gs
             crf.emit = crf.emit + rate * ge / np.sqrt(se)
@@ -224,4 +242,24 @@ def judge(docs: DataFrame, crf: LineCRF | None, least_content: float = 0.5) -> D
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs, learn(docs, table(spark, sf_dir, "labels"))).drop("line_labels")
+    return judge(docs, learn(docs, table(spark, sf_dir, "labels"))).withColumn("n_boilerplate_lines", F.coalesce(F.size(F.filter("line_labels", lambda x: ~x)), F.lit(0)).cast("long")).drop("line_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules of the same operator, without a field: what SQL can express of it."""
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), None).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, line, count(*) - 1 as more from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id, line),
+x as (select doc_id, i, array_to_string(w[i : i + 4], ' ') as win from (select doc_id, w, unnest(generate_series(1, len(w) - 4)) as i from d where len(w) > 5)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from x) where n > 1),
+h as (select doc_id, count(distinct p) as n from (select doc_id, unnest(generate_series(i, i + 4)) as p from r) group by doc_id),
+k as (select doc_id, sum(more) as n from l group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  cast(coalesce(k.n, 0) as bigint) as n_dup_lines, cast(coalesce(h.n, 0) as bigint) as n_repeat_words,
+  len(w) < 10 or 100 * coalesce(h.n, 0) > 20 * len(w) as base_failed
+from d left join h using (doc_id) left join k using (doc_id)
+"""

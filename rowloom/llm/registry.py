@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pieces": pieces.op6_pieces,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
+    "quality_base": quality.quality_base,
     "op9_language_id": langid.op9_language_id,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
@@ -20,4 +21,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
+    "quality_base": quality.BASE_SQL,
 }
