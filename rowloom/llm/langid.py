@@ -1,45 +1,60 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are lower-cased and cut at ASCII characters that are no letters; the network runs forwards and backwards over
-the bytes of each word (of pieces of ``PIECE`` bytes, where a word is longer) and gives every position a distribution
-over the languages. A document's probabilities are the mean over all its positions, whole texts included. A word always
-gets the same labels, so workers keep the sums of words that they have seen.
+The network reads the bytes of the whole lower-cased text, blanks, digits and marks included, forwards and backwards, and gives every
+position a distribution over the languages. A document's probabilities are the mean over the positions of its letters. Texts are
+read as windows of ``CORE`` bytes, all of which count, with ``CONTEXT`` bytes more on either side from which the states come,
+so long texts run as many rows beside each other, and a window's result does not depend on what it is batched with.
 
-The network is trained in numpy by backpropagation through time, on the most frequent words of a bounded sample of
-labelled rows: at most ``train_docs`` documents (those whose ids hash lowest) and ``train_words`` (language, word) pairs.
+The network is trained in numpy by backpropagation through time on windows from a bounded sample of labelled rows:
+``train_docs`` documents of each language at most (those whose ids hash lowest), ``train_windows`` windows from each, spread over the text.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; letters outside ASCII count as letters
-of a word; repeated rows each get their row; without any labelled row every document is ``und``; other columns are
-not looked at.
+Defined cases: null text, or text without a letter (Unicode category L), is ``und`` with score 0; repeated rows each get their row; null doc_ids
+are rows like others; texts of any length are read whole; languages are counted whatever their number of rows; without any labelled row every document is ``und``
+(and ``keep_languages`` keeps those that have a letter); a table without rows gives none; other columns pass through, those of the results' names are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, kept_by_worker, table
 
-PIECE = 24
-_LETTER = re.compile(r"[^\W\d_]")
-_CUT = bytes(c if c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
+CORE, CONTEXT = 256, 24
+_LETTER = regex.compile(r"\p{L}")
+_IS_LETTER = np.array([c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
 
 
-def pieces_of(text: str | None) -> list[bytes]:
-    words = (text or "").lower().encode().translate(_CUT).split()
-    if words and max(map(len, words)) > PIECE:
-        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
-    return words
+def windows_of(texts: list[bytes], core: int = CORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[window, byte] with zeros outside of a text, the text of each window, and how many bytes of its core it has."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    many = -(-sizes // core)
+    owner = np.repeat(np.arange(len(texts)), many)
+    part = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    filled = np.minimum(core, sizes[owner] - part * core)
+    # all texts end to end, with zeros between them that are wider than the context and a core's empty rest
+    gap = core + CONTEXT
+    begins = gap + np.cumsum(sizes + gap) - sizes - gap
+    flat = np.zeros(int(sizes.sum()) + gap * (len(texts) + 1) + core, np.uint8)
+    for t, at in zip(texts, begins.tolist(), strict=True):
+        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    first = begins[owner] + part * core - CONTEXT
+    return np.lib.stride_tricks.sliding_window_view(flat, core + 2 * CONTEXT)[first], owner, filled
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    np.reciprocal(x, x)
 
 
 @dataclass
@@ -56,91 +71,97 @@ class ByteGRU:
         for k in "fb":
             self.p |= {f"Wx{k}": draw(d, 3 * h), f"Wh{k}": draw(h, 3 * h), f"b{k}": np.zeros(3 * h, np.float32)}
 
-    @staticmethod
-    def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.array([len(w) for w in words])
-        wide = int(n.max())
-        x = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(len(words), wide)
-        return x, n
-
-    @staticmethod
-    def _turned(n: np.ndarray, wide: int) -> np.ndarray:
-        """For each word the places that read it backwards; padding stays behind."""
-        at = np.arange(wide)[None, :]
-        return np.where(at < n[:, None], n[:, None] - 1 - at, at)
-
-    def _run(self, k: str, emb: np.ndarray, keep: list | None):
-        """States of one direction, [word, place, hidden]; keep: what BPTT needs."""
-        h_, (rows, wide, _) = self.hidden, emb.shape
-        gx = emb @ self.p[f"Wx{k}"] + self.p[f"b{k}"]
-        wh, h, out = self.p[f"Wh{k}"], np.zeros((rows, h_), np.float32), np.empty((rows, wide, h_), np.float32)
-        for t in range(wide):
-            gh = h @ wh
-            zr = _sigmoid(gx[:, t, : 2 * h_] + gh[:, : 2 * h_])
-            z, r = zr[:, :h_], zr[:, h_:]
-            n = np.tanh(gx[:, t, 2 * h_ :] + r * gh[:, 2 * h_ :])
+    def _run(self, k: str, x: np.ndarray, keep: list | None) -> np.ndarray:
+        """What one direction adds to the outputs, [place, window, language]; keep: what BPTT needs. Places run from the first or (k = b) the last.
+
+        The gates are arrays of their own, as numpy is fastest on whole ones.
+        """
+        h_, (wide, rows) = self.hidden, x.shape
+        table_ = self.p["E"] @ self.p[f"Wx{k}"] + self.p[f"b{k}"]  # the input's share by byte
+        table_[0] = 0  # outside of the text a state of zeros stays so, however many places that are
+        gates = [slice(g * h_, (g + 1) * h_) for g in range(3)]
+        tz, tr, tn = (np.ascontiguousarray(table_[:, g]) for g in gates)
+        wz, wr, wn = (np.ascontiguousarray(self.p[f"Wh{k}"][:, g]) for g in gates)
+        wo = self.p["Wo"][slice(0, h_) if k == "f" else slice(h_, 2 * h_)]
+        h = np.zeros((rows, h_), table_.dtype)
+        out = np.empty((wide, rows, len(self.languages)), table_.dtype)
+        for t in range(wide) if k == "f" else range(wide - 1, -1, -1):
+            z, r, n = tz.take(x[t], 0), tr.take(x[t], 0), tn.take(x[t], 0)
+            for gate, w in ((z, wz), (r, wr)):
+                gate += h @ w
+                _sigmoid(gate)
+            ghn = h @ wn
+            n += r * ghn
+            np.tanh(n, n)
+            now = h - n
+            now *= z
+            now += n
             if keep is not None:
-                keep.append((h, z, r, n, gh[:, 2 * h_ :]))
-            h = n + z * (h - n)
-            out[:, t] = h
+                keep.append((h, z, r, n, ghn, now))
+            h = now
+            np.matmul(h, wo, out=out[t])
         return out
 
-    def forward(self, x: np.ndarray, n: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Probabilities by word, place and language. Padding comes last in both directions, so it changes nothing before it."""
-        turn = self._turned(n, x.shape[1])
-        ef, eb = self.p["E"][x], self.p["E"][np.take_along_axis(x, turn, 1)]
+    def scores(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """The outputs before they are made probabilities, by place, window and language, for bytes [place, window]."""
         kf, kb = ([], []) if keep is not None else (None, None)
-        hf, hb = self._run("f", ef, kf), self._run("b", eb, kb)
-        h = np.concatenate([hf, np.take_along_axis(hb, turn[:, :, None], 1)], axis=2)
-        o = h @ self.p["Wo"] + self.p["bo"]
-        o = np.exp(o - o.max(axis=2, keepdims=True))
-        o /= o.sum(axis=2, keepdims=True)
+        o = self._run("f", x, kf)
+        o += self._run("b", x, kb)
+        o += self.p["bo"]
         if keep is not None:
-            keep |= {"turn": turn, "ef": ef, "eb": eb, "kf": kf, "kb": kb, "h": h}
+            keep |= {"f": kf, "b": kb}
         return o
 
-    def gradients(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients, by backpropagation through time, of the mean cross-entropy over all positions."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients, by backpropagation through time, of the mean cross-entropy over the positions of mask [place, window]; y: the windows' languages."""
         keep: dict = {}
-        prob = self.forward(x, n, keep)
-        mask = (np.arange(x.shape[1])[None, :] < n[:, None]).astype(np.float32)
-        total = mask.sum()
-        rows, cols = np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :]
-        loss = float(-(np.log(prob[rows, cols, y[:, None]] + 1e-9) * mask).sum() / total)
-        do = prob.copy()
-        do[rows, cols, y[:, None]] -= 1
-        do *= mask[:, :, None] / total
-        g = {"Wo": np.einsum("ijh,ijc->hc", keep["h"], do), "bo": do.sum((0, 1)), "E": np.zeros_like(self.p["E"])}
-        dh, h_ = do @ self.p["Wo"].T, self.hidden
-        xb = np.take_along_axis(x, keep["turn"], 1)
-        for k, part, emb, states, bytes_ in (("f", dh[:, :, :h_], keep["ef"], keep["kf"], x), ("b", np.take_along_axis(dh[:, :, h_:], keep["turn"][:, :, None], 1), keep["eb"], keep["kb"], xb)):
-            wh, carry = self.p[f"Wh{k}"], np.zeros((len(x), h_), np.float32)
-            gx, gwh = np.empty((*x.shape, 3 * h_), np.float32), np.zeros_like(wh)
-            for t in range(x.shape[1] - 1, -1, -1):
-                h, z, r, c, ghn = states[t]
-                d = part[:, t] + carry
+        prob = self.scores(x, keep)
+        prob -= prob.max(axis=2, keepdims=True)
+        np.exp(prob, prob)
+        prob /= prob.sum(axis=2, keepdims=True)
+        total = max(1, mask.sum())
+        rows = np.arange(x.shape[1])
+        loss = float(-(np.log(prob[:, rows, y] + 1e-9) * mask).sum() / total)
+        do = prob
+        do[:, rows, y] -= 1
+        do *= (mask / total)[:, :, None].astype(do.dtype)
+        h_, wide = self.hidden, len(x)
+        g = {"bo": do.sum((0, 1)), "Wo": np.zeros_like(self.p["Wo"]), "E": np.zeros_like(self.p["E"])}
+        for k, half in (("f", slice(0, h_)), ("b", slice(h_, 2 * h_))):
+            wo, wh = self.p["Wo"][half], self.p[f"Wh{k}"]
+            gx, gwh, carry = np.empty((*x.shape, 3 * h_), wh.dtype), np.zeros_like(wh), np.zeros((x.shape[1], h_), wh.dtype)
+            for step in range(wide - 1, -1, -1):  # from the state that was made last
+                t = step if k == "f" else wide - 1 - step
+                h, z, r, c, ghn, now = keep[k][step]
+                g["Wo"][half] += now.T @ do[t]
+                d = do[t] @ wo.T + carry
                 dn = d * (1 - z) * (1 - c * c)
                 dz = d * (h - c) * z * (1 - z)
                 dr = dn * ghn * r * (1 - r)
-                gx[:, t] = np.concatenate([dz, dr, dn], 1)
+                gx[t] = np.concatenate([dz, dr, dn], 1)
                 gh = np.concatenate([dz, dr, dn * r], 1)
                 gwh += h.T @ gh
                 carry = d * z + gh @ wh.T
-            g |= {f"Wh{k}": gwh, f"Wx{k}": np.einsum("ijd,ijg->dg", emb, gx), f"b{k}": gx.sum((0, 1))}
-            np.add.at(g["E"], bytes_, gx @ self.p[f"Wx{k}"].T)
+            gx[x == 0] = 0
+            flat = gx.reshape(-1, 3 * h_)
+            g |= {f"Wh{k}": gwh, f"Wx{k}": self.p["E"][x].reshape(-1, self.width).T @ flat, f"b{k}": flat.sum(0)}
+            by_byte = np.zeros((256, 3 * h_), wh.dtype)
+            np.add.at(by_byte, x.ravel(), flat)
+            g["E"] += by_byte @ self.p[f"Wx{k}"].T
         return loss, g
 
-    def train(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 0) -> float:
-        """Adam on words drawn by weight; returns the mean loss of the last steps."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = 200, batch: int = 64, rate: float = 0.02, seed: int = 0) -> float:
+        """Adam on windows [window, byte], as many of each language in a batch; returns the mean loss of the last steps."""
         self.init(seed)
         r = np.random.default_rng(seed + 1)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        chance, losses = weights / weights.sum(), []
+        by_language = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
+        each, losses = max(1, -(-batch // len(self.languages))), []
         for step in range(1, steps + 1):
-            pick = r.choice(len(words), batch, p=chance)
-            x, n = self.pad([words[i] for i in pick])
-            loss, g = self.gradients(x, n, labels[pick])
+            pick = np.concatenate([r.choice(own, each) for own in by_language if len(own)])
+            x = np.ascontiguousarray(windows[pick].T)
+            loss, g = self.gradients(x, labels[pick], _IS_LETTER[x])
             losses.append(loss)
             now = rate * (1 - step / (steps + 1))
             for k in self.p:
@@ -149,82 +170,65 @@ class ByteGRU:
                 self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return float(np.mean(losses[-20:]))
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its positions' probabilities."""
-        out = np.empty((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            pick = order[at : at + 4096]
-            x, n = self.pad([words[i] for i in pick])
-            mask = np.arange(x.shape[1])[None, :] < n[:, None]
-            out[pick] = (self.forward(x, n) * mask[:, :, None]).sum(1)
-        return out
-
-
-class Pooler:
-    """Documents' probabilities from words' sums; keeps those of ``keep`` words."""
-
-    def __init__(self, net: ByteGRU, keep: int = 250_000):
-        self.net, self.keep = net, keep
-        self.index: dict[bytes, int] = {}
-        self.table = np.zeros((0, len(net.languages)), np.float32)
-
-    def pool(self, docs: list[list[bytes]]) -> np.ndarray:
-        """[document, language]; zeros for a document without words."""
-        fresh = set().union(*docs) - self.index.keys()
-        if len(self.index) + len(fresh) > self.keep:
-            fresh, self.index, self.table = set().union(*docs), {}, self.table[:0]
-        if fresh:
-            words = sorted(fresh)
-            self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-            self.table = np.concatenate([self.table, self.net.sums(words)])
-        get, out = self.index.__getitem__, np.zeros((len(docs), self.table.shape[1]))
-        for i, words in enumerate(docs):
-            if words:
-                out[i] = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=np.float64) / sum(map(len, words))
-        return out
-
-
-def learn(docs: DataFrame, train_docs: int = 1500, train_words: int = 40_000, steps: int = 300) -> ByteGRU | None:
-    """A network from docs (doc_id, text, lang); None without labels. Gathers ``train_words`` short rows at most."""
-    labelled = docs.filter("lang is not null and text is not null")
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_docs).select("doc_id").distinct()
-    words = labelled.join(F.broadcast(chosen), "doc_id").select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")).alias("word"))
-    rows = words.filter("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words).collect()
+    def pool(self, texts: list[bytes], rows: int = 1024) -> np.ndarray:
+        """Mean probabilities of the positions of letters, [text, language]; zeros for a text without any. So many windows run at a time."""
+        x, owner, filled = windows_of(texts)
+        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        order = np.argsort(filled, kind="stable")
+        for at in range(0, len(order), rows):
+            pick = order[at : at + rows]
+            wide = int(filled[pick[-1]])
+            bytes_ = np.ascontiguousarray(x[pick, : wide + 2 * CONTEXT].T)
+            core = bytes_[CONTEXT : CONTEXT + wide]
+            counted = _IS_LETTER[core] & (np.arange(wide)[:, None] < filled[pick])
+            o = self.scores(bytes_)[CONTEXT : CONTEXT + wide].reshape(-1, len(self.languages)).T.astype(np.float32, order="C")
+            o -= o.max(0)
+            np.exp(o, o)
+            o *= counted.ravel() / o.sum(0)
+            np.add.at(sums, owner[pick], o.reshape(-1, wide, len(pick)).sum(1, dtype=np.float64).T)
+            np.add.at(counts, owner[pick], counted.sum(0))
+        return sums / np.maximum(counts, 1)[:, None]
+
+
+def learn(docs: DataFrame, train_docs: int = 200, train_windows: int = 4, steps: int = 200) -> ByteGRU | None:
+    """A network from docs (doc_id, text, lang); None without labels. Gathers ``train_docs`` times ``train_windows`` windows of each language at most."""
+    labelled = docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
+    h = F.xxhash64("doc_id")
+    low = Window.partitionBy("lang").orderBy("h", "doc_id", "th")  # Spark keeps the least rows of each task before it deals them
+    chosen = labelled.select("lang", "doc_id", h.alias("h"), F.xxhash64("text").alias("th")).withColumn("k", F.row_number().over(low)).filter(F.col("k") <= train_docs).select("lang", "doc_id", "th").distinct()
+    size = F.length("text")
+    # windows of characters, spread over the text, with a rest for the context
+    at = F.transform(F.sequence(F.lit(0), F.lit(train_windows - 1)), lambda i: F.floor(i * F.greatest(size - CORE, F.lit(0)) / max(1, train_windows - 1)).cast("int") + 1)
+    parts = labelled.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "th"]).select("lang", F.explode(F.array_distinct(at)).alias("at"), "text")
+    rows = parts.select("lang", F.lower(F.expr(f"substring(text, at, {CORE})")).alias("part")).filter("part <> ''").distinct().collect()
+    rows = sorted((r.lang, r.part) for r in rows if _LETTER.search(r.part))
     if not rows:
         return None
-    net = ByteGRU(sorted({r.lang for r in rows}))
+    net = ByteGRU(sorted({k for k, _ in rows}))
     code = {k: i for i, k in enumerate(net.languages)}
-    found = [(w[:PIECE], code[r.lang], r.n) for r in rows if (w := r.word.encode())]
-    labels = np.array([x[1] for x in found])
-    weights = np.sqrt(np.array([x[2] for x in found], np.float64))
-    weights /= np.bincount(labels, weights, len(code))[labels]
-    net.train([x[0] for x in found], labels, weights, steps)
+    x, owner, _ = windows_of([part.encode() for _, part in rows], 96)
+    has = _IS_LETTER[x].any(1)
+    net.train(x[has], np.array([code[k] for k, _ in rows])[owner][has], steps)
     return net
 
 
 def predict(docs: DataFrame, net: ByteGRU | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns (which replace columns of their names)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in (pred, score)]
     docs = docs.select(*columns)
     if net is None:
         return docs.withColumns({pred: F.lit("und"), score: F.lit(0.0)})
-    key = str(hash((spark.sparkContext.applicationId, *(v.tobytes() for v in net.p.values()))))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = kept_by_worker(("pooler", key), lambda: Pooler(net))
+        kept_by_worker("language", dict)
         for b in batches:
             texts = b.column("text").to_pylist()
             has = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
-            p = pooler.pool([pieces_of(t) for t in texts])
-            best = p.argmax(1)
-            names = [net.languages[k] if ok and s.any() else "und" for k, ok, s in zip(best, has, p, strict=True)]
-            scores = np.where([x == "und" for x in names], 0.0, np.clip(p.max(1), 0, 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, pred, score])
-
-    from pyspark.sql import types as T
+            p = net.pool([t.lower().encode() if ok else b"" for t, ok in zip(texts, has, strict=True)])
+            names = pa.array(np.where(has, np.array(net.languages, object)[p.argmax(1)], "und"), pa.string())
+            scores = np.where(has, np.clip(p.max(1), 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), names, pa.array(scores, pa.float64())], names=[*columns, pred, score])
 
     return docs.mapInArrow(label, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
@@ -234,7 +238,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_languages(docs: DataFrame, net: ByteGRU | None, least: float = 0.4) -> DataFrame:
-    """docs without those that have no language, or none with a mean probability of ``least``."""
+    """docs without those that have no letter, or no language with a mean probability of ``least``; without a network, letters alone decide."""
+    if net is None:
+        return docs.filter(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
     taken = "__lang_pred", "__lang_score"
     return predict(docs, net, *taken).filter((F.col(taken[0]) != "und") & (F.col(taken[1]) >= least)).drop(*taken)
 
