@@ -1,8 +1,9 @@
 """Repeated passages by sparse suffix arrays.
 
 The suffixes of the corpus that start at minimisers (the least hash of three words in a window of ``W`` places) are
-kept, cut to ``T`` words and sorted by the hash of these. Equal neighbours are the same T words; each is compared with
-the first of its run in corpus order (doc_id, then place). Along a repeated passage such matches follow each other at
+kept, cut to ``T`` words and sorted by (hash of these, place in corpus order: doc_id, then place in the text), in ranges of this whole key,
+so the suffixes of one passage in a third of all documents are many tasks' work. Equal neighbours are the same T words and make a run; each is compared with
+the first of its run, which for runs that go on from one range to the next is one small row for each range. Along a repeated passage such matches follow each other at
 one distance and join to one span, which is then extended word by word to the left and right. A span of 50
 words or more (LEAST) is a repeat of an earlier passage. A text's repeats of itself are found the same way where the text is read;
 only the first of equal suffixes of a text meets those of others. W + T is 50, so any repeated passage of 50 words has a minimiser whose
@@ -21,8 +22,8 @@ Defined cases: null or short texts have no repeats; null doc_ids come first in c
 text are one document and share their result (neither repeats the other); rows of one doc_id with other texts are
 documents of their own; a text that repeats inside itself keeps the first; columns of any other name pass through.
 
-Counts of a hash are summed before the shuffle and the joins by hash are plain equi-joins that adaptive execution
-splits, so a passage in a third of all documents does not meet in one task; nothing is paired within a run.
+Very long texts are one row of a task, with 8 bytes for each word. Counts of a core or window are summed before the shuffle and the joins by them are plain equi-joins that adaptive execution
+splits; nothing is paired within a run. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -70,12 +71,12 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     size = 1
     while True:
         if n & size:
-            out = have[: len(h) - n + 1] if out is None else _mix(out * np.uint64(_BASE) + have[at : at + len(h) - n + 1])
+            out = have[: len(h) - n + 1] if out is None else mix(out * np.uint64(_BASE) + have[at : at + len(h) - n + 1])
             at += size
         size *= 2
         if size > n:
             return out
-        have = _mix(have[: -(size // 2)] * np.uint64(_BASE) + have[size // 2 :]) if len(have) > size // 2 else have[:0]
+        have = mix(have[: -(size // 2)] * np.uint64(_BASE) + have[size // 2 :]) if len(have) > size // 2 else have[:0]
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ def own_repeats(h: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[
 
 
 #: A row is a kept suffix that n places of its text have, or with ``end`` a span that repeats an earlier place of its own text.
-ANCHORS = "did long, th int, at int, h long, end int, n int"
+ANCHORS = "did long, th long, at int, h long, end int, n int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,53 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ANCHORS.split(", ")])
 
 
-CONTEXT = "did long, th int, at int, side int, words array<long>"
+#: Rows of runs (kind 0) with the run's first place, and whether it has three places or more. Of a range's first and last run both are open (kind 1);
+#: such a run has one more row (kind 2), its first place in the range and its numbers of rows and places there.
+RUNS = "did long, th long, at int, h long, fd long, ft long, fa int, more boolean, kind int, rows long, places long"
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares neighbours of a sorted range of suffixes; what has no equal neighbour goes."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    h, did, th, at, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("h", "did", "th", "at", "n"))
+    del held
+    new = np.ones(len(h), bool)  # a repeated row is the same document's
+    new[1:] = (h[1:] != h[:-1]) | (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (at[1:] != at[:-1])
+    h, did, th, at, n = h[new], did[new], th[new], at[new], n[new].astype(np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes, places = np.diff(np.append(begins, len(h))), np.add.reduceat(n, begins)
+    is_open = np.zeros(len(begins), bool)
+    is_open[[0, -1]] = True
+    first = np.repeat(begins, sizes)
+    keep = np.repeat((sizes > 1) | (places > 2) | is_open, sizes)
+    open_ = np.repeat(is_open, sizes)[keep]
+    first = first[keep]
+    rows = {"did": did[keep], "th": th[keep], "at": at[keep], "h": h[keep]}
+    cols = [pa.array(rows[c]) for c in ("did", "th", "at", "h")] + [pa.array(x[first], mask=open_) for x in (did, th, at)]
+    cols += [pa.array(np.repeat(places > 2, sizes)[keep], mask=open_), pa.array(open_.astype(np.int32)), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64())]
+    whole = pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in RUNS.split(", ")])
+    for k in range(0, len(first), 100_000):
+        yield whole.slice(k, 100_000)
+    ends = begins[is_open]
+    none = lambda t: pa.nulls(len(ends), t)
+    cols = [pa.array(x[ends]) for x in (did, th, at, h)] + [none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.bool_()), pa.array(np.full(len(ends), 2, np.int32)), pa.array(sizes[is_open].astype(np.int64)), pa.array(places[is_open])]
+    yield pa.RecordBatch.from_arrays(cols, names=whole.schema.names)
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """did, th, at, h, fd, ft, fa, more: the suffixes whose T words stand in several places, with the first of these."""
+    key = ["h", "did", "th", "at"]
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = store(found.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(_run_rows, RUNS), "runs")
+    ends = found.filter("kind = 2").groupBy("h").agg(F.min(F.struct("did", "th", "at")).alias("f"), F.sum("rows").alias("rows"), F.sum("places").alias("places")).filter("rows > 1 or places > 2")
+    ends = ends.select("h", F.col("f.did").alias("fd"), F.col("f.th").alias("ft"), F.col("f.at").alias("fa"), (F.col("places") > 2).alias("more"))
+    inner = found.filter("kind = 0").select(*key, "fd", "ft", "fa", "more")
+    return inner.unionByName(found.filter("kind = 1").select(*key).join(F.broadcast(ends), "h"))  # two rows for each range are sent
+
+
+CONTEXT = "did long, th long, at int, side int, words array<long>"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +205,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 h = known.of((text or b"").split()).view("i8")
                 rows += [(did, th, a["at"], a["side"], h[a["at"] : a["at"] + W] if a["side"] else h[max(0, a["at"] - W) : a["at"]][::-1]) for a in asked]
         if rows:
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["did", "th", "at", "side", "words"])
 
 
@@ -184,11 +231,11 @@ def unexplained(h: np.ndarray, asked: list[int], spans: list[tuple[int, int]]) -
     starts = np.flatnonzero(np.isin(suffix[at], suffix[asked]) & (np.cumsum(known)[:-1] == 0))
     step = (at[starts] - starts) // STEP
     begins = at[starts] - STEP * step
-    return starts, _mix(gram_hashes(h, CORE)[begins] + step.astype(np.uint64)).view("i8"), begins
+    return starts, mix(gram_hashes(h, CORE)[begins] + step.astype(np.uint64)).view("i8"), begins
 
 
-CORES = "did long, th int, at int, core long"
-WINDOWS = "did long, th int, at int, h long"
+CORES = "did long, th long, at int, core long"
+WINDOWS = "did long, th long, at int, h long"
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +266,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with did and th, which name a document and are never null."""
-    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.hash("text")})
+    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64("text")})
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -228,11 +275,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "text"))
     kept = store(keyed.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     own = kept.filter("end is not null").select("did", "th", F.col("did").alias("first_did"), F.col("at").alias("start"), "end")
-    found = kept.filter("end is null").select("did", "th", "at", "h", "n")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("places")).filter("rows > 1 or places > 2").select("h", (F.col("places") > 2).alias("more"))
-    runs = store(found.drop("n").join(twice, "h"), "runs")
-    first = runs.groupBy("h").agg(F.min(F.struct("did", "th", "at")).alias("f")).select("h", F.col("f.did").alias("fd"), F.col("f.th").alias("ft"), F.col("f.at").alias("fa"))
-    later = runs.join(first, "h").filter("not (did = fd and th = ft and at = fa)").select("did", "th", "at", "fd", "ft", (F.col("at") - F.col("fa")).alias("shift"))
+    runs = _runs(kept.filter("end is null").select("did", "th", "at", "h", "n"))
+    later = runs.filter("not (did = fd and th = ft and at = fa)").select("did", "th", "at", "fd", "ft", (F.col("at") - F.col("fa")).alias("shift"))
     # matches of one document with one other at one distance, no further apart than they reach, are one span (a repeated row's matches coincide)
     w = Window.partitionBy("did", "th", "fd", "ft", "shift").orderBy("at")
     gaps = later.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(w), F.lit(-1 << 30)) > T).cast("int"))
@@ -243,7 +287,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     ends = ends.withColumn("there", F.col("here") - F.col("shift"))
     asked = ends.select("did", "th", F.col("here").alias("at"), "side").union(ends.select("fd", "ft", "there", "side")).distinct()
     asked = asked.groupBy("did", "th").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
-    context = store(keyed.join(asked, ["did", "th"]).select("did", "th", "asked", "text").mapInArrow(_context_rows, CONTEXT), "context")
+    context = store(keyed.join(asked, ["did", "th"]).select("did", "th", "asked", "text").mapInArrow(_context_rows, CONTEXT).dropDuplicates(["did", "th", "at", "side"]), "context")
     here = context.select("did", "th", F.col("at").alias("here"), "side", F.col("words").alias("w1"))
     there = context.select(F.col("did").alias("fd"), F.col("th").alias("ft"), F.col("at").alias("there"), "side", F.col("words").alias("w2"))
     both = ends.join(here, ["did", "th", "here", "side"]).join(there, ["fd", "ft", "there", "side"])
@@ -295,9 +339,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeats cut from text, and n_words, n_removed (long), removed (array of [start, end] in words), repeats_of (array of doc_ids of first places)."""
     new = T_.StructType([T_.StructField("n_words", T_.LongType()), T_.StructField("n_removed", T_.LongType()), T_.StructField("removed", T_.ArrayType(T_.ArrayType(T_.LongType()))), T_.StructField("repeats_of", T_.ArrayType(T_.LongType()))])
     docs = docs.drop(*new.names)
-    spans = repeats(docs).groupBy("did", "th").agg(F.collect_list(F.struct("start", "end")).alias("__spans"), F.array_sort(F.collect_set("first_did")).alias("__of"))
+    spans = repeats(docs).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("__spans"), F.array_sort(F.collect_set("first_did")).alias("__of"))
     columns = docs.columns
-    joined = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.hash("text")})
+    joined = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
     spans = spans.withColumnsRenamed({"did": "__did", "th": "__th"})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
