@@ -40,9 +40,14 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
         hashes = [digest(b" ".join(words), seed)]
     else:
         hashes = [digest(b" ".join(s), seed) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return bit_majority(np.array(hashes, "<u8"))
+
+
+def bit_majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have."""
     n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 8192):
-        h = np.array(hashes[at : at + 8192], "<u8")
+        h = np.ascontiguousarray(hashes[at : at + 8192], "<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 

@@ -56,14 +56,31 @@ def test_one_row_of_each_class(spark):
     assert similar.keep_one_similar(docs.limit(0)).collect() == []
 
 
-def test_parities_lose_no_similar_pair():
+def test_fingerprints_and_shards_of_similar_sets():
     r = np.random.default_rng(3)
-    for n in (1, 5, 64, 65, 300, 5000):
-        a = np.unique(r.integers(-(1 << 62), 1 << 62, n))
-        for less in range(0, n // 5 + 1, max(1, n // 50)):
-            for more in (0, n // 9 - less):
-                b = np.unique(np.concatenate([a[less:], r.integers(-(1 << 62), 1 << 62, max(0, more))]))
-                if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
-                    assert similar.may_be_similar(len(a), similar.parities(a), len(b), similar.parities(b))
-        c = np.unique(r.integers(-(1 << 62), 1 << 62, n))
-        assert n < 64 or not similar.may_be_similar(len(a), similar.parities(a), len(c), similar.parities(c))
+    lost = beyond = pairs = 0
+    for n in (60, 120, 300, 1000):
+        for _ in range(150):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[n // 9 :], r.integers(0, 1 << 63, n // 9).astype(np.uint64)])
+            pairs += 1
+            lost += not (similar.shard_keys(a) == similar.shard_keys(b)).any()
+            beyond += (similar.bit_majority(a) ^ similar.bit_majority(b)).bit_count() > similar.RADIUS
+    assert lost <= 3 and beyond <= 3, (lost, beyond, pairs)
+
+
+def test_class_links_join_what_is_near():
+    fps = [0b0, 0b1, 0b11 << 40, (1 << 64) - 1]
+    assert similar.class_links([5, 6, 7, 8], fps, [5, 6, 7, 8], [True] * 4, 3) in ([(5, 6), (5, 7)], [(5, 6), (6, 7)])
+    assert similar.class_links([5, 6, 7, 8], fps, [5, 5, 7, 8], [False, False, True, True], 3) == [(5, 7)]
+    assert similar.class_links([5, 6], [4, 4], [5, 6], [False, True], 0) == [(5, 6)]
+
+
+def test_large_shards_are_dealt_to_several_trees(spark):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(60)]
+    rows += [(100 + k, " ".join([f"x{r.randrange(3000)}" for _ in range(80)])) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.root for x in similar.similar_classes(docs, most=7).collect()}
+    assert len({got[k] for k in range(60)}) == 1 and len(set(got.values())) == 11
