@@ -16,9 +16,9 @@ def test_gru_gradients_are_those_of_the_loss():
     net = langid.ByteGRU(["a", "b", "c"], hidden=3, width=4)
     net.init(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, n = net.pad([b"abc", b"d", b"efghi"])
-    y = np.array([0, 2, 1])
-    _, g = net.gradients(x, n, y)
+    x = np.array([list(b"abcde"), list(b"d    "), list(b"efghi")], np.uint8).T
+    y, mask = np.array([0, 2, 1]), langid._IS_LETTER[x]
+    _, g = net.gradients(x, y, mask)
     r = np.random.default_rng(0)
     for k, v in net.p.items():
         for _ in range(6):
@@ -27,29 +27,36 @@ def test_gru_gradients_are_those_of_the_loss():
                 at = (int(x[0, 0]), at[1])
             old, e = v[at], 1e-3
             v[at] = old + e
-            up = net.gradients(x, n, y)[0]
+            up = net.gradients(x, y, mask)[0]
             v[at] = old - e
-            down = net.gradients(x, n, y)[0]
+            down = net.gradients(x, y, mask)[0]
             v[at] = old
             assert abs((up - down) / (2 * e) - g[k][at]) < 2e-4, k
 
 
-def test_gru_padding_changes_nothing():
+def test_gru_reads_whole_texts_whatever_they_are_batched_with():
     net = langid.ByteGRU(["a", "b"])
     net.init(0)
-    alone, both = net.sums([b"word"]), net.sums([b"word", b"a-much-longer-one-here"])
-    assert np.allclose(alone[0], both[0], atol=1e-5)
+    texts = [b"word", b"much longer " * 400, b"", b"12 34", b"x" * langid.CORE]
+    both = net.pool(texts, rows=7)
+    assert np.allclose(both, np.concatenate([net.pool([t]) for t in texts]), atol=1e-5)
+    assert not both[2].any() and not both[3].any() and np.allclose(both[[0, 1, 4]].sum(1), 1)
+    x, owner, filled = langid.windows_of(texts)
+    for k, t in enumerate(texts):
+        own = [bytes(w[langid.CONTEXT : langid.CONTEXT + n]) for w, n, o in zip(x, filled, owner, strict=True) if o == k]
+        assert b"".join(own) == t
+    assert bytes(x[2][: langid.CONTEXT]) == texts[1][langid.CORE - langid.CONTEXT : langid.CORE]
 
 
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("score"))
-    net = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))), train_docs=300, steps=120)
-    odd = spark.createDataFrame([(-1, None, "en", ""), (-2, "", "en", ""), (-3, "123 !?", "en", ""), (-4, "漢字" * 5000, None, "")], docs.schema)
+    net = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))), train_docs=100, steps=120)
+    odd = spark.createDataFrame([(-1, None, "en", ""), (-2, "", "en", ""), (-3, "123 !?", "en", ""), (-4, "漢字" * 5000, None, ""), (-5, "½ ² Ⅷ", "en", "")], docs.schema)
     got = langid.predict(docs.unionByName(odd), net).filter(langid.held_out(F.col("doc_id")) | (F.col("doc_id") < 0)).select("doc_id", "lang", "lang_pred", "score").collect()
     own = [r for r in got if r.doc_id >= 0]
     assert np.mean([r.lang == r.lang_pred for r in own]) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
-    assert {r.doc_id: r.lang_pred for r in got if -4 < r.doc_id < 0} == {-1: "und", -2: "und", -3: "und"}
+    assert {r.doc_id: (r.lang_pred, r.score) for r in got if r.doc_id < 0 and r.doc_id != -4} == dict.fromkeys((-1, -2, -3, -5), ("und", 0.0))
     assert langid.learn(docs.limit(0)) is None
     assert {r.lang_pred for r in langid.predict(docs.limit(3), None).collect()} == {"und"}
 
@@ -106,6 +113,28 @@ def test_quality_of_rated_documents(spark):
     assert quality.learn(docs, labels.limit(0)) is None and quality.judge(odd.limit(0), crf).collect() == []
 
 
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    crf = quality.learn(docs, labels)
+    rated = docs.join(labels, "doc_id").orderBy("doc_id").collect()
+    lines = {q: [x for r in rated if r.quality == q for x in r.text.split("\n") if 20 <= len(x.split()) <= 60] for q in (0, 1)}
+    r = random.Random(4)
+    right = total = 0
+    kept = {0: 0, 1: 0}
+    for k in range(60):
+        most = k % 2
+        parts = [(most, x) for x in r.sample(lines[most], 6)] + [(1 - most, x) for x in r.sample(lines[1 - most], 2)]
+        at = r.randrange(7)
+        parts = parts[:at] + parts[6:] + parts[at:6]
+        x, sizes = quality.line_features("\n".join(p for _, p in parts).encode())
+        found = crf.viterbi(x)
+        right += sum(int(a) == b for a, (b, _) in zip(found, parts, strict=True))
+        total += len(parts)
+        kept[most] += sizes[found].sum() >= 0.5 * sizes.sum()
+    assert right / total > 0.9 and kept[1] >= 27 and kept[0] <= 3, (right / total, kept)
+
+
 def _best(word, pieces_):
     by = {pieces_.text[i]: i for i in pieces_.plain()}
     worst = min(pieces_.score[i] for i in pieces_.plain() if pieces_.score[i] > -1e8) - 10.0
@@ -124,15 +153,15 @@ def _best(word, pieces_):
     return best[-1][1]
 
 
-TEXTS = ["Hello world", "  two  blanks ", "line\n\nend\n ", "", None, "漢字 ünï \U0001f600", "a\tb", "x" * 300, "▁ under ▁", "the the the of", " \n \n"]
+TEXTS = ["Hello world", "  two  blanks ", "line\n\nend\n ", "", None, "漢字 ünï \U0001f600", "a\tb", "x" * 300, "▁ under ▁", "the the the of", " \n \n", "abcdefg" * 40 + "\u6f22" * 30 + "the" * 300]
 
 
 def test_pieces_are_the_best_path_and_decode(spark):
     model = pieces.Pieces.load(pieces.model_path())
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "x"), (3, "again", "x"), (3, "again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    for head in (3, 1000):
-        got = pieces.decode(pieces.encode(docs, model, head=head), model).collect()
+    for head_bytes in (0, 60, 1 << 20):
+        got = pieces.decode(pieces.encode(docs, model, head_bytes=head_bytes), model).collect()
         assert len(got) == len(rows)
         for r in got:
             words = pieces._WORDS.findall("▁" + r.text.replace(" ", "▁")) if r.text else []
@@ -141,6 +170,24 @@ def test_pieces_are_the_best_path_and_decode(spark):
     assert pieces.encode(docs.limit(0), model).collect() == []
 
 
+def test_a_word_of_a_million_characters(spark):
+    model = pieces.Pieces.load(pieces.model_path())
+    r = random.Random(8)
+    blob = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, "a " + blob + " z"), (2, "a")], "doc_id long, text string")
+    got = pieces.decode(pieces.encode(docs, model), model).orderBy("doc_id").collect()
+    assert got[0].decoded == got[0].text and len(got[0].ids) > 300_000
+    own = model.bytes_of()
+    assert [own[k] for k in got[1].ids] == [b" a"]
+
+
+def test_repeated_rows_outside_of_the_head(spark):
+    model = pieces.Pieces.load(pieces.model_path())
+    docs = spark.createDataFrame([(None, "many words here"), (5, "many words here")] * 40, "doc_id long, text string")
+    got = pieces.encode(docs, model, head_bytes=0).collect()
+    assert len(got) == 80 and len({tuple(x.ids) for x in got}) == 1
+
+
 def test_word_splitting_paths_agree():
     import pyarrow as pa
 
