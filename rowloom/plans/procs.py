@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from pathlib import Path
 
@@ -663,7 +664,7 @@ def genmod(engine, step):
         event = _event(df, y, left[1:], h)
         fit = M.irls(df, event, xs)
         for i, n in enumerate(fit["names"]):
-            lo, hi = M.profile_interval(fit, df, event, xs, i) if "lrci" in o else (fit["estimate"][i] - 1.959963984540054 * fit["stderr"][i], fit["estimate"][i] + 1.959963984540054 * fit["stderr"][i])
+            lo, hi = M.profile_interval(fit, lambda others, start, offset, df=df, event=event: M.irls(df, event, others, start=start, offset=offset), xs, i) if "lrci" in o else (fit["estimate"][i] - 1.959963984540054 * fit["stderr"][i], fit["estimate"][i] + 1.959963984540054 * fit["stderr"][i])
             pe.append((*key, n, 1.0, fit["estimate"][i], fit["stderr"][i], lo, hi, fit["chisq"][i], fit["p"][i]))
         if "type3" in o:
             for e, at in effects.items():
@@ -740,7 +741,11 @@ def lifetest(engine, step):
     t, e, censored = _time(st["time"][0])
     t = low[t.lower()]
     event = ~F.col(low[e.lower()]).cast("double").isin(censored) if e else F.lit(True)
-    groups = _names(st.get("strata", []), d.columns)
+    # STRATA a b / GROUP=g: curves for each combination, and a test of g inside of the strata
+    groups, within = _names(st.get("strata", []), d.columns), []
+    for c in st.get("strata", []):
+        if c.accept("/") and "group" in (o := header(c)):
+            within, groups = groups, [*groups, low[str(o["group"]).lower()]]
     df = d.visible.filter(F.col(t).isNotNull() & (F.col(low[e.lower()]).isNotNull() if e else F.lit(True)))
     km = M.kaplan_meier(df, t, event, groups)
     _ods(engine, "survivalplot", km)
@@ -753,13 +758,16 @@ def lifetest(engine, step):
         out = km.select(*groups, F.col("time").alias(t), (F.col("n_event") == 0).cast("int").alias("_CENSOR_"), s.alias("SURVIVAL"), F.when(ok, F.exp(-F.exp(lo + half))).alias("SDF_LCL"), F.when(ok, F.exp(-F.exp(lo - half))).alias("SDF_UCL"))
         _put(engine, h["outsurv"], out, order=[(c, False) for c in [*groups, t]])
     if groups:
-        test = M.log_rank(df, t, event, groups)
-        _ods(engine, "homtests", _frame(engine, [("Log-Rank", test["chisq"], float(test["df"]), test["p"])], "test string, chisq double, df double, probchisq double"))
+        test = M.log_rank(df, t, event, [g for g in groups if g not in within], within)
+        result = _frame(engine, [("Log-Rank", test["chisq"], float(test["df"]), test["p"])], "test string, chisq double, df double, probchisq double")
+        for name in ("homtests", "logunichisq"):
+            _ods(engine, name, result)
         engine.results = test
 
 
 def phreg(engine, step):
     from ..stats import models as M
+    from ..stats.special import probit
 
     h, st = header(step.header), statements(step)
     d = _input(engine, h, st)
@@ -774,18 +782,30 @@ def phreg(engine, step):
     strata = _names(st.get("strata", []), d.columns)
     by = [x for x, _ in _by(st, d.columns)]
     classes = _classes(st, "last")
+    wanted = []  # HAZARDRATIO 'label' variable / CL=PL ALPHA=
+    for c in st.get("hazardratio", []):
+        label = c.take().value[0] if c.now.kind == "str" else ""
+        name = low[c.name().lower()]
+        wanted.append((label or name, name, header(c) if c.accept("/") else {}))
     pe, hr = [], []
     for key, part in _groups(d.visible, by):
         df = M._complete(part, [t, e, *(low[n.lower()] for n in names)])
-        xs, _ = _design(df, names, classes, low)
-        fit = M.cox(df, t, ~F.col(e).cast("double").isin(censored), xs, strata)
+        xs, effects = _design(df, names, classes, low)
+        event = ~F.col(e).cast("double").isin(censored)
+        fit = M.cox(df, t, event, xs, strata)
         for i, n in enumerate(fit["names"]):
             pe.append((*key, n, 1.0, fit["estimate"][i], fit["stderr"][i], fit["chisq"][i], fit["p"][i], fit["hr"][i]))
-            hr.append((*key, n, fit["hr"][i], fit["lower"][i], fit["upper"][i]))
+        for label, name, o in wanted or [(n, n, {}) for n in effects]:
+            alpha = float(o.get("alpha", 0.05))
+            z = float(probit(1 - alpha / 2))
+            for i in effects[name]:
+                b, se = fit["estimate"][i], fit["stderr"][i]
+                limits = M.profile_interval(fit, lambda others, start, offset, df=df, event=event: M.cox(df, t, event, others, strata, start=start, offset=offset), xs, i, alpha) if str(o.get("cl", "")).lower() == "pl" else (None, None)
+                hr.append((*key, label + fit["names"][i][len(name) :], fit["hr"][i], math.exp(b - z * se), math.exp(b + z * se), *(None if x is None else math.exp(x) for x in limits)))
         engine.results = fit
     keys = "".join(f"`{b}` {d.df.schema[b].dataType.simpleString()}, " for b in by)
     _ods(engine, "parameterestimates", _frame(engine, pe, keys + "parameter string, df double, estimate double, stderr double, chisq double, probchisq double, hazardratio double"))
-    _ods(engine, "hazardratios", _frame(engine, hr, keys + "description string, hazardratio double, waldlower double, waldupper double"))
+    _ods(engine, "hazardratios", _frame(engine, hr, keys + "description string, hazardratio double, waldlower double, waldupper double, pllower double, plupper double"))
 
 
 HANDLERS = {

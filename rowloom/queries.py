@@ -272,17 +272,26 @@ q("PR20", "o_orderstatus:s o_totalprice:d", "proc report data=orders out=out; co
 q("ST01", "variable:s with:s r:d", "proc corr data=lineitem; var l_quantity l_extendedprice l_tax; run;", " union all ".join(f"select '{a}' as variable, '{b}' as \"with\", corr({a}, {b}) as r from lineitem" for a in ("l_quantity", "l_extendedprice", "l_tax") for b in ("l_quantity", "l_extendedprice", "l_tax")), "@pearsoncorr")
 _RK = "(select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as a, rank() over (order by l_tax) + (count(*) over (partition by l_tax) - 1) / 2.0 as b from lineitem)"
 q("ST02", "variable:s with:s r:d", "proc corr data=lineitem spearman; var l_quantity l_tax; run;", f"select 'l_quantity' as variable, 'l_tax' as \"with\", corr(a, b) as r from {_RK} union all select 'l_tax', 'l_quantity', corr(b, a) from {_RK} union all select 'l_quantity', 'l_quantity', 1.0 union all select 'l_tax', 'l_tax', 1.0", "@spearmancorr")
-q("ST03", "variable:s with:s r:d", "proc corr data=lineitem kendall; var l_quantity l_tax; run;", None, "@kendallcorr")
+_TAU = "with c as (select l_quantity as x, l_tax as y, count(*) as n from lineitem group by 1, 2), s as (select sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2 as s, sum(case when a.x <> b.x then a.n * b.n else 0 end) / 2 as px, sum(case when a.y <> b.y then a.n * b.n else 0 end) / 2 as py from c a, c b), r as (select s / sqrt(cast(px as double) * py) as r from s) select 'l_quantity' as variable, 'l_tax' as \"with\", r from r union all select 'l_tax', 'l_quantity', r from r union all select 'l_quantity', 'l_quantity', 1.0 union all select 'l_tax', 'l_tax', 1.0"
+q("ST03", "variable:s with:s r:d", "proc corr data=lineitem kendall; var l_quantity l_tax; run;", _TAU, "@kendallcorr")
 q("ST04", "variable:s tvalue:d df:d", "proc ttest data=lineitem h0=25; var l_quantity; run;", "select 'l_quantity' as variable, (avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))) as tvalue, count(*) - 1 as df from lineitem", "@ttests")
 q("ST05", "variable:s tvalue:d df:d", "proc ttest data=lineitem; class l_linestatus; var l_quantity; run;", "with g as (select l_linestatus, count(*) as n, avg(l_quantity) as m, var_samp(l_quantity) as v from lineitem group by 1), a as (select * from g where l_linestatus = 'F'), b as (select * from g where l_linestatus = 'O') select 'l_quantity' as variable, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) as tvalue, a.n + b.n - 2 as df from a, b", "@ttests")
 q("ST06", "variable:s tvalue:d", "proc ttest data=lineitem; paired l_tax*l_discount; run;", "select 'l_tax - l_discount' as variable, avg(l_tax - l_discount) / (stddev_samp(l_tax - l_discount) / sqrt(count(*))) as tvalue from lineitem", "@ttests")
 q("ST07", "Intercept:d l_quantity:d", "proc reg data=lineitem outest=out; model l_extendedprice = l_quantity; run;", "select regr_intercept(l_extendedprice, l_quantity) as Intercept, regr_slope(l_extendedprice, l_quantity) as l_quantity from lineitem")
-q("ST08", "variable:s estimate:d stderr:d", "data d; merge documents(keep=doc_id n_chars) labels(in=a); by doc_id; if a; k = n_chars / 1000; run; proc logistic data=d descending; model quality = k; run;", None, "@parameterestimates")
+# a two-valued effect, whose estimates have a closed form
+_BIN = "with d as (select quality, case when n_chars > 2000 then 1 else 0 end as k from labels join documents using (doc_id)), g as (select sum(quality * k) as a, sum((1 - quality) * k) as b, sum(quality * (1 - k)) as c, sum((1 - quality) * (1 - k)) as e from d)"
+q("ST08", "variable:s estimate:d stderr:d", "data d; merge documents(keep=doc_id n_chars) labels(in=a); by doc_id; if a; k = n_chars > 2000; run; proc logistic data=d descending; model quality = k; run;", _BIN + " select 'Intercept' as variable, ln(1.0 * c / e) as estimate, sqrt(1.0 / c + 1.0 / e) as stderr from g union all select 'k', ln(1.0 * a * e / (1.0 * b * c)), sqrt(1.0 / a + 1.0 / b + 1.0 / c + 1.0 / e) from g", "@parameterestimates")
 q("ST09", "event_type:s time:d n_risk:d survival:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; proc lifetest data=e; time t*c(1); strata event_type; run;", "with c as (select event_type, ceil(value / 10) as time, sum(case when event_id % 3 = 0 then 0 else 1 end) as d, count(*) as m from events group by 1, 2), r as (select *, sum(m) over (partition by event_type order by time desc) as n_risk from c) select event_type, time, n_risk, case when max(case when d = n_risk then 1 else 0 end) over w = 1 then 0.0 else exp(sum(case when d < n_risk then ln(1 - cast(d as double) / n_risk) else 0.0 end) over w) end as survival from r window w as (partition by event_type order by time)", "@survivalplot")
-q("ST10", "test:s chisq:d df:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; proc lifetest data=e; time t*c(1); strata event_type; run;", None, "@homtests")
-q("ST11", "event_type:s percent:i estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; proc lifetest data=e; time t*c(1); strata event_type; run;", None, "@quartiles")
+_SURV = "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; g = mod(user_id, 2); run; "
+_RANK = "with c as (select {s} as s, ceil(value / 10) as t, user_id % 2 as g, case when event_id % 3 = 0 then 0 else 1 end as d from events), p as (select s, t, count(*) as m, sum(g) as m1, sum(d) as d, sum(d * g) as d1 from c group by 1, 2), r as (select d, d1, cast(sum(m) over w as double) as n, cast(sum(m1) over w as double) as n1 from p window w as (partition by s order by t desc)), z as (select sum(d1 - d * n1 / n) as u, sum(case when n > 1 then d * (n - d) / (n - 1) * n1 / n * (1 - n1 / n) else 0 end) as v from r where d > 0) select 'Log-Rank' as test, u * u / v as chisq, 1 as df from z"
+q("ST10", "test:s chisq:d df:d", _SURV + "proc lifetest data=e; time t*c(1); strata g; run;", _RANK.format(s="0"), "@homtests")
+q("ST10S", "test:s chisq:d df:d", _SURV + "ods output logunichisq=out; proc lifetest data=e; time t*c(1); strata event_type / group=g; run;", _RANK.format(s="event_type"))
+_KM = "with c as (select event_type, ceil(value / 10) as time, sum(case when event_id % 3 = 0 then 0 else 1 end) as d, count(*) as m from events group by 1, 2), r as (select *, sum(m) over (partition by event_type order by time desc) as n_risk from c), k as (select event_type, time, d, case when max(case when d = n_risk then 1 else 0 end) over w = 1 then 0.0 else exp(sum(case when d < n_risk then ln(1 - cast(d as double) / n_risk) else 0.0 end) over w) end as s from r window w as (partition by event_type order by time)), v as (select *, lead(time) over (partition by event_type order by time) as next from k where d > 0), p as (select * from (values (25, 0.75), (50, 0.5), (75, 0.25)) as t(percent, level)), h as (select event_type, percent, level, min_by(time, time) as time, min_by(s, time) as s, min_by(next, time) as next from v join p on s <= level + 1e-12 group by 1, 2, 3), e as (select distinct event_type, percent from events, p) select e.event_type, e.percent, case when abs(s - level) < 1e-12 and next is not null then (time + next) / 2 else time end as estimate from e left join h on e.event_type = h.event_type and e.percent = h.percent"
+q("ST11", "event_type:s percent:i estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; proc lifetest data=e; time t*c(1); strata event_type; run;", _KM, "@quartiles")
 q("ST12", "parameter:s estimate:d hazardratio:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; x = mod(user_id, 5); run; proc phreg data=e; model t*c(1) = x; run;", None, "@parameterestimates")
-q("ST14", "parameter:s estimate:d stderr:d", "data d; merge documents(keep=doc_id n_chars lang) labels(in=a); by doc_id; if a; k = n_chars / 1000; run; proc genmod data=d descending; class lang; model quality = k lang / dist=binomial link=logit type3; run;", None, "@parameterestimates")
+q("ST13", "description:s inside:i", _SURV + "ods output hazardratios=h; proc phreg data=e; model t*c(1) = g; hazardratio 'of g' g / cl=pl; run; data out; set h; inside = pllower < hazardratio < plupper and abs(log(pllower) - log(waldlower)) < 0.001 and abs(log(plupper) - log(waldupper)) < 0.001; run;", "select 'of g' as description, 1 as inside")
+_LANG = "with g as (select lang, sum(quality) as a, sum(1 - quality) as b from labels join documents using (doc_id) group by 1), z as (select * from g order by lang desc limit 1) select 'Intercept' as parameter, ln(1.0 * a / b) as estimate, sqrt(1.0 / a + 1.0 / b) as stderr from z union all select 'lang ' || g.lang, ln(1.0 * g.a * z.b / (1.0 * g.b * z.a)), sqrt(1.0 / g.a + 1.0 / g.b + 1.0 / z.a + 1.0 / z.b) from g, z where g.lang <> z.lang"
+q("ST14", "parameter:s estimate:d stderr:d", "data d; merge documents(keep=doc_id lang) labels(in=a); by doc_id; if a; run; proc genmod data=d descending; class lang; model quality = lang / dist=binomial link=logit type3; run;", _LANG, "@parameterestimates")
 
 # scalar functions
 
@@ -400,7 +409,7 @@ q("MC13", "ok:i", "data out; ok = (length(\"&sysdate9\") = 9); run;", "select 1
 q("IO14", "a:i b:s", "data out; input a b $; datalines4;\n1 x\n2 y\n;;;;\nrun;", "select * from (values (1, 'x'), (2, 'y')) as t(a, b)")
 q("IO22", "k:i", "data a; set region; run; proc sort; by r_regionkey; run; data out; set _last_; k = r_regionkey; keep k; run;", "select r_regionkey as k from region")
 q("DS36", "n_nationkey:i a:s b:s", "data out; set nation; label n_name = 'Name of it'; format n_regionkey 5.1; a = vlabel(n_name); b = strip(vvalue(n_regionkey)); keep n_nationkey a b; run;", "select n_nationkey, 'Name of it' as a, n_regionkey || '.0' as b from nation")
-q("PR22", "percent:i event_type:s estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; ods output quartiles=out; proc lifetest data=e; time t*c(1); strata event_type; run;", None)
+q("PR22", "percent:i event_type:s estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; ods output quartiles=out; proc lifetest data=e; time t*c(1); strata event_type; run;", _KM)
 
 
 def queries() -> dict:

@@ -6,10 +6,12 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .special import probchi, probf, probnorm, probt, t_quantile
+from ..operators.ranged import range_of, running_sums, splitters
+from .special import chi_quantile, probchi, probf, probnorm, probt, t_quantile
 
 
 def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,28 +34,63 @@ def spearman(df: DataFrame, variables: list[str]) -> DataFrame:
     whole = _complete(df, variables)
     for v in variables:
         counts = whole.groupBy(v).agg(F.count(F.lit(1)).alias("__n"))
-        w = Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(F.col(v).alias("__v"), (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"__rank_{v}"))
+        counts = running_sums(counts, [], v, {"__before": F.col("__n")}, splitters(counts, v), own=False)
+        ranks = counts.select(F.col(v).alias("__v"), (F.col("__before") + (F.col("__n") + 1) / 2).alias(f"__rank_{v}"))
         whole = whole.join(ranks, whole[v] == ranks["__v"]).drop("__v")
     renamed = whole.select(*(F.col(f"__rank_{v}").alias(v) for v in variables))
     return pearson(renamed, variables)
 
 
-def kendall(df: DataFrame, x: str, y: str, most: int = 20_000) -> float:
-    """tau-b. Pairs are counted on distinct (x, y) cells; more than ``most`` of them are refused, as the count is over pairs of cells."""
-    cells = _complete(df, [x, y]).groupBy(x, y).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(cells) > most:
-        raise ValueError(f"Kendall's tau: more than {most} different pairs of values")
-    a, b, n = (np.array([float(r[i]) for r in cells]) for i in range(3))
-    con = dis = tx = ty = 0.0
-    for i in range(len(a)):
-        sx, sy = np.sign(a[i + 1 :] - a[i]), np.sign(b[i + 1 :] - b[i])
-        w = n[i] * n[i + 1 :]
-        con += w[sx * sy > 0].sum()
-        dis += w[sx * sy < 0].sum()
-        tx += w[(sx == 0) & (sy != 0)].sum()
-        ty += w[(sy == 0) & (sx != 0)].sum()
-    return float((con - dis) / math.sqrt((con + dis + tx) * (con + dis + ty)))
+def signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The sum over pairs of different (x, y) cells of n n' sign(x - x') sign(y - y'), by halves of the order of x."""
+    order = np.lexsort((y, x))
+    x, y, n = x[order], y[order], n[order].astype(float)
+
+    def inside(a: int, z: int) -> float:
+        """As if all x differed."""
+        if z - a <= 64:
+            return float((np.triu(np.sign(y[None, a:z] - y[a:z, None]), 1) * n[a:z, None] * n[None, a:z]).sum())
+        m = (a + z) // 2
+        left = np.argsort(y[a:m], kind="stable") + a
+        below = np.concatenate([[0.0], np.cumsum(n[left])])
+        less = below[np.searchsorted(y[left], y[m:z], "left")]
+        more = below[-1] - below[np.searchsorted(y[left], y[m:z], "right")]
+        return inside(a, m) + inside(m, z) + float((n[m:z] * (less - more)).sum())
+
+    # cells of one x were counted as rising, as they are in order of y
+    begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, int)
+    if not len(begins):
+        return 0.0
+    same = np.add.reduceat(n, begins) ** 2 - np.add.reduceat(n * n, begins)
+    return inside(0, len(x)) - float(same.sum()) / 2
+
+
+def kendall(df: DataFrame, x: str, y: str) -> float:
+    """tau-b, exactly. Distinct (x, y) cells are dealt to ranges of x and of y; pairs in different ranges of both are counted from the grid of ranges
+    (a bounded number of cells), pairs that share a range inside of it, one task for each range."""
+    cells = _complete(df, [x, y]).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumns({"i": range_of(F.col("x"), splitters(cells, "x", 128)), "j": range_of(F.col("y"), splitters(cells, "y", 128))})
+    grid = cells.groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()  # 128 by 128 rows at most
+    total = float(grid.n.sum())
+    apart = 0.0
+    if len(grid):
+        g = np.zeros((grid.i.max() + 1, grid.j.max() + 1))
+        g[grid.i, grid.j] = grid.n
+        below = g.cumsum(0) - g  # in ranges of x before
+        less, upto = below.cumsum(1) - below, below.cumsum(1)
+        apart = float((g * (less - (below.sum(1, keepdims=True) - upto))).sum())
+
+    def pairs(key: list[str]) -> float:
+        def of(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"s": [signed_pairs(part.x.to_numpy(), part.y.to_numpy(), part.n.to_numpy())]})
+
+        return float(cells.select("x", "y", "n", "i", "j").groupBy(*key).applyInPandas(of, "s double").agg(F.sum("s")).first()[0] or 0.0)
+
+    s = apart + pairs(["i"]) + pairs(["j"]) - pairs(["i", "j"])
+    tied = lambda c: float(cells.groupBy(c).agg(F.sum("n").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0)
+    all_ = total * (total - 1) / 2
+    both = (all_ - tied("x")) * (all_ - tied("y"))
+    return s / math.sqrt(both) if both > 0 else float("nan")
 
 
 # t tests
@@ -155,32 +192,28 @@ def irls(df: DataFrame, y: Column, xs: list[tuple[str, Column]], steps: int = 25
     return {"names": [n for n, _ in xs], "estimate": beta, "stderr": se, "cov": cov, "chisq": z * z, "p": np.array([2 * (1 - probnorm(abs(v))) for v in z]), "loglik": loglik, "n": n}
 
 
-def profile_interval(fit, df, y, xs, index: int, alpha: float = 0.05) -> tuple[float, float]:
-    """Likelihood-ratio limits of one parameter: where the profile log-likelihood has fallen by half a chi-square quantile."""
-    low, high = 0.0, 50.0
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if probchi(mid, 1) < 1 - alpha else (low, mid)
-    drop = low / 2
-    others = [x for i, x in enumerate(xs) if i != index]
-    start = [b for i, b in enumerate(fit["estimate"]) if i != index]
+def profile_interval(fit, refit, xs, index: int, alpha: float = 0.05) -> tuple[float, float]:
+    """Likelihood-ratio limits of one parameter: where the profile log-likelihood has fallen by half a chi-square quantile.
+
+    ``refit`` gives the fit of the other columns, from a start, with an offset.
+    """
+    drop = chi_quantile(1 - alpha, 1) / 2
+    others = [x for i, x in enumerate(xs) if i != index] or [("zero", F.lit(0.0))]
+    start = [b for i, b in enumerate(fit["estimate"]) if i != index] or [0.0]
 
     def fall(value: float) -> float:
-        if not others:
-            return fit["loglik"] - irls(df, y, [("zero", F.lit(0.0))], offset=F.lit(float(value)) * xs[index][1].cast("double"))["loglik"]
-        return fit["loglik"] - irls(df, y, others, start=start, offset=F.lit(float(value)) * xs[index][1].cast("double"))["loglik"]
+        return fit["loglik"] - refit(others, start, F.lit(float(value)) * xs[index][1].cast("double"))["loglik"]
 
     out = []
-    for sign in (-1, 1):
-        a, b = fit["estimate"][index], fit["estimate"][index] + sign * 2 * fit["stderr"][index]
-        for _ in range(6):
-            if fall(b) > drop:
+    for sign in (-1, 1):  # the root of the fall is almost a straight line from the estimate on
+        far, seen = sign * math.sqrt(2 * drop) * fit["stderr"][index], []
+        for _ in range(25):
+            seen.append((far, math.sqrt(max(fall(fit["estimate"][index] + far), 0.0))))
+            if abs(seen[-1][1] - math.sqrt(drop)) < 1e-8:
                 break
-            b += sign * fit["stderr"][index]
-        for _ in range(18):
-            m = (a + b) / 2
-            a, b = (m, b) if fall(m) < drop else (a, m)
-        out.append((a + b) / 2)
+            (x0, y0), (x1, y1) = ([(0.0, 0.0), *seen])[-2:]
+            far = x1 + (math.sqrt(drop) - y1) * (x1 - x0) / (y1 - y0) if y1 != y0 else 2 * x1
+        out.append(fit["estimate"][index] + far)
     return out[0], out[1]
 
 
@@ -190,14 +223,13 @@ def profile_interval(fit, df, y, xs, index: int, alpha: float = 0.05) -> tuple[f
 def kaplan_meier(df: DataFrame, time: str, event: Column, strata: list[str]) -> DataFrame:
     """strata, time, n_risk, n_event, n_censor, survival, stderr (Greenwood). Counts by time first; windows run over distinct times."""
     counts = df.filter(F.col(time).isNotNull()).groupBy(*strata, F.col(time).cast("double").alias("time")).agg(F.sum(event.cast("long")).alias("n_event"), F.sum((~event).cast("long")).alias("n_censor"))
-    late = Window.partitionBy(*strata).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    early = Window.partitionBy(*strata).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    cuts = splitters(counts, "time")
+    t = running_sums(counts, strata, "time", {"n_risk": F.col("n_event") + F.col("n_censor")}, cuts, down=True)
     d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
-    t = counts.withColumn("n_risk", F.sum(F.col("n_event") + F.col("n_censor")).over(late))
-    dead = F.max((F.col("n_event") == F.col("n_risk")).cast("int")).over(early) == 1
-    s = F.when(dead, 0.0).otherwise(F.exp(F.sum(F.when(d < n, F.log1p(-d / n)).otherwise(0.0)).over(early)))
-    t = t.withColumn("survival", s)
-    return t.withColumn("stderr", F.when(F.col("survival") > 0, F.col("survival") * F.sqrt(F.sum(F.when(d < n, d / (n * (n - d))).otherwise(0.0)).over(early)))).select(*strata, "time", "n_risk", "n_event", "n_censor", "survival", "stderr")
+    sums = {"__log": F.when(d < n, F.log1p(-d / n)).otherwise(0.0), "__dead": (d == n).cast("int"), "__var": F.when(d < n, d / (n * (n - d))).otherwise(0.0)}
+    t = running_sums(t, strata, "time", sums, cuts)
+    t = t.withColumn("survival", F.when(F.col("__dead") > 0, 0.0).otherwise(F.exp("__log")))
+    return t.withColumn("stderr", F.when(F.col("survival") > 0, F.col("survival") * F.sqrt("__var"))).select(*strata, "time", "n_risk", "n_event", "n_censor", "survival", "stderr")
 
 
 def quartiles(km: DataFrame, strata: list[str]) -> DataFrame:
@@ -221,8 +253,7 @@ def log_rank(df: DataFrame, time: str, event: Column, groups: list[str], strata:
     levels = [r[0] for r in data.select("g").distinct().orderBy("g").collect()]
     k = len(levels)
     per = data.groupBy("s", "t").agg(*(F.sum((F.col("g") == v).cast("double")).alias(f"n{i}") for i, v in enumerate(levels)), *(F.sum(((F.col("g") == v) & F.col("e")).cast("double")).alias(f"d{i}") for i, v in enumerate(levels)))
-    w = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select("s", "t", *(F.sum(f"n{i}").over(w).alias(f"r{i}") for i in range(k)), *(f"d{i}" for i in range(k)))
+    per = running_sums(per, ["s"], "t", {f"r{i}": F.col(f"n{i}") for i in range(k)}, splitters(per, "t"), down=True)
     r = reduce(lambda a, b: a + b, (F.col(f"r{i}") for i in range(k)))
     d = reduce(lambda a, b: a + b, (F.col(f"d{i}") for i in range(k)))
     per = per.withColumns({"r": r, "d": d}).filter("d > 0")
@@ -233,25 +264,25 @@ def log_rank(df: DataFrame, time: str, event: Column, groups: list[str], strata:
     return {"groups": levels, "oe": o, "chisq": chi, "df": k - 1, "p": 1 - probchi(chi, k - 1)}
 
 
-def cox(df: DataFrame, time: str, event: Column, xs: list[tuple[str, Column]], strata: list[str] | None = None, steps: int = 30) -> dict:
-    """Proportional hazards with Efron's ties. Each Newton step sums over risk sets from the last time on: by time first, then windows over distinct times."""
+def cox(df: DataFrame, time: str, event: Column, xs: list[tuple[str, Column]], strata: list[str] | None = None, steps: int = 30, start=None, offset: Column | None = None) -> dict:
+    """Proportional hazards with Efron's ties. Each Newton step sums over risk sets from the last time on: by time first, then running sums over ranges of the distinct times."""
     strata = strata or []
     k = len(xs)
-    data = df.select(F.concat_ws("|", F.lit(""), *(F.col(c).cast("string") for c in strata)).alias("s"), F.col(time).cast("double").alias("t"), event.cast("double").alias("e"), *(x.cast("double").alias(f"x{i}") for i, (_, x) in enumerate(xs)))
-    data = _complete(data, ["t", "e", *(f"x{i}" for i in range(k))]).persist()
-    beta, loglik = np.zeros(k), None
+    data = df.select(F.concat_ws("|", F.lit(""), *(F.col(c).cast("string") for c in strata)).alias("s"), F.col(time).cast("double").alias("t"), event.cast("double").alias("e"), (offset if offset is not None else F.lit(0.0)).cast("double").alias("o"), *(x.cast("double").alias(f"x{i}") for i, (_, x) in enumerate(xs)))
+    data = _complete(data, ["t", "e", "o", *(f"x{i}" for i in range(k))]).persist()
+    cuts = splitters(data, "t")
+    beta, loglik = np.zeros(k) if start is None else np.array(start, float), None
     idx = [(i, j) for i in range(k) for j in range(i, k)]
     cov = np.eye(k)
     for _ in range(steps):
-        eta = reduce(lambda a, b: a + b, (F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)))
+        eta = reduce(lambda a, b: a + b, (F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.col("o"))
         e, w = F.col("e"), F.exp(eta)
         sums = {"d": e, "le": e * eta, "w": w, "dw": e * w}
         sums |= {f"ex{i}": e * F.col(f"x{i}") for i in range(k)} | {f"wx{i}": w * F.col(f"x{i}") for i in range(k)} | {f"dx{i}": e * w * F.col(f"x{i}") for i in range(k)}
         sums |= {f"wx{i}_{j}": w * F.col(f"x{i}") * F.col(f"x{j}") for i, j in idx} | {f"dx{i}_{j}": e * w * F.col(f"x{i}") * F.col(f"x{j}") for i, j in idx}
-        per = data.groupBy("s", "t").agg(*(F.sum(v).alias(n) for n, v in sums.items()))
-        win = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+        per = data.groupBy("s", "t").agg(*(F.sum(v).alias(n) for n, v in sums.items()))  # equal times once
         risk = ["w", *(f"wx{i}" for i in range(k)), *(f"wx{i}_{j}" for i, j in idx)]
-        per = per.select("d", "le", "dw", *(f"ex{i}" for i in range(k)), *(f"dx{i}" for i in range(k)), *(f"dx{i}_{j}" for i, j in idx), *(F.sum(n).over(win).alias(f"r_{n}") for n in risk)).filter("d > 0")
+        per = running_sums(per, ["s"], "t", {f"r_{n}": F.col(n) for n in risk}, cuts, down=True).filter("d > 0")
         # the l-th of d tied events sees the risk set less l/d of the tied ones
         per = per.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1))).withColumn("f", F.col("l") / F.col("d"))
         a = F.col("r_w") - F.col("f") * F.col("dw")
