@@ -18,18 +18,15 @@ def match_merge(inputs: list[DataFrame], by: list[str], flags: list[str | None])
     """Rows of equal keys side by side, in order; a shorter input repeats its last row; later inputs overwrite.
 
     Each input has an OBS column and the BY columns. flags: names of 0/1 columns that tell an input's part in a key.
-    One shuffle by key for each input; everything after is a window over the same keys.
+    All inputs' rows are dealt by key once; numbering, pairing and filling stay inside of these partitions.
     """
-    numbered = []
-    for i, df in enumerate(inputs):
-        own = [c for c in df.columns if c not in (*by, OBS)]
-        w = Window.partitionBy(*by).orderBy(OBS)
-        numbered.append(df.select(*by, F.row_number().over(w).alias("__row"), F.lit(i).alias("__src"), F.struct(F.lit(i).alias("__i"), *own).alias(f"__s{i}")))
     tall = None
-    for i, df in enumerate(numbered):
-        cols = [*by, "__row"]
-        df = df.select(*cols, *(F.col(f"__s{i}") if j == i else F.lit(None).cast(numbered[j].schema[f"__s{j}"].dataType).alias(f"__s{j}") for j in range(len(inputs))))
-        tall = df if tall is None else tall.unionByName(df)
+    for i, df in enumerate(inputs):
+        own = F.struct(F.lit(i).alias("__i"), *(c for c in df.columns if c not in (*by, OBS)))
+        df = df.select(*by, OBS, F.lit(i).alias("__src"), own.alias(f"__s{i}"))
+        tall = df if tall is None else tall.unionByName(df, allowMissingColumns=True)
+    number = F.row_number().over(Window.partitionBy(*by, "__src").orderBy(OBS))
+    tall = tall.repartition(*by).withColumn("__row", number)
     wide = tall.groupBy(*by, "__row").agg(*(F.first(f"__s{i}", ignorenulls=True).alias(f"__s{i}") for i in range(len(inputs))))
     running = Window.partitionBy(*by).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     for i in range(len(inputs)):
