@@ -17,15 +17,15 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 def match_merge(inputs: list[DataFrame], by: list[str], flags: list[str | None]) -> DataFrame:
     """Rows of equal keys side by side, in order; a shorter input repeats its last row; later inputs overwrite.
 
-    Each input has an OBS column and the BY columns. flags: names of 0/1 columns that tell an input's part in a key.
+    Each input has the BY columns and an OBS column, of any type that has an order. flags: names of 0/1 columns that tell an input's part in a key.
     All inputs' rows are dealt by key once; numbering, pairing and filling stay inside of these partitions.
     """
     tall = None
     for i, df in enumerate(inputs):
         own = F.struct(F.lit(i).alias("__i"), *(c for c in df.columns if c not in (*by, OBS)))
-        df = df.select(*by, OBS, F.lit(i).alias("__src"), own.alias(f"__s{i}"))
+        df = df.select(*by, F.col(OBS).alias(f"__o{i}"), F.lit(i).alias("__src"), own.alias(f"__s{i}"))
         tall = df if tall is None else tall.unionByName(df, allowMissingColumns=True)
-    number = F.row_number().over(Window.partitionBy(*by, "__src").orderBy(OBS))
+    number = F.row_number().over(Window.partitionBy(*by, "__src").orderBy(*(f"__o{i}" for i in range(len(inputs)))))
     tall = tall.repartition(*by).withColumn("__row", number)
     wide = tall.groupBy(*by, "__row").agg(*(F.first(f"__s{i}", ignorenulls=True).alias(f"__s{i}") for i in range(len(inputs))))
     running = Window.partitionBy(*by).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)

@@ -70,6 +70,13 @@ def with_obs(d: Dataset) -> Dataset:
     return Dataset(number(d.df, d.order, OBS), d.variables, [(OBS, False)], d.sort_keys, d.label)
 
 
+def with_place(d: Dataset) -> DataFrame:
+    """The rows with an OBS column that only orders them: the columns that the dataset is in order of, if these ascend. Nothing is numbered."""
+    if OBS not in d.df.columns and d.order and not any(desc for _, desc in d.order):
+        return d.df.withColumn(OBS, F.struct(*(F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(d.order))))
+    return with_obs(d).df
+
+
 def number(df: DataFrame, keys: list[tuple[str, bool]], name: str) -> DataFrame:
     """Row numbers from 1 in the order of the keys, without gathering all rows in one task."""
     cols = [F.col(c).desc() if d else F.col(c).asc() for c, d in keys]

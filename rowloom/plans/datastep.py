@@ -22,7 +22,7 @@ from ..lang.lexer import ProgramError
 from ..operators import merge as M
 from ..operators import prefix as P
 from . import compile as C
-from .dataset import OBS, Dataset, Variable, number, with_obs
+from .dataset import OBS, Dataset, Variable, number, with_obs, with_place
 from .interp import Interpreter, _has
 
 _DECLARATIONS = {"set", "merge", "update", "by", "where", "keep", "drop", "rename", "retain", "array", "length", "format", "informat", "label", "attrib", "infile", "input", "datalines"}
@@ -131,8 +131,8 @@ class DataStepCompiler:
         if p.update:
             (master, _), (trans, _) = self.sources(p.update)
             by = [c for c, _ in self.by_columns(master.columns)]
-            trans = self._same_names(with_obs(trans).df, by)
-            df = M.update_master(with_obs(master).df, trans, by)
+            trans = self._same_names(with_place(trans), by)
+            df = M.update_master(with_place(master), trans, by)
             self.by = [(c, False) for c in by]
             if self.needs_order:
                 df = df.withColumnRenamed(OBS, "__o")
@@ -180,8 +180,8 @@ class DataStepCompiler:
         self.flags += [f for f in flags if f]
         columns = found[0][0].columns
         by = [c for c, _ in self.by_columns(columns)]
-        dfs = [self._same_names(with_obs(d).df, by) for d, _ in found]
         if not by:
+            dfs = [with_obs(d).df for d, _ in found]
             parts = [number(df, [(OBS, False)], "__k") for df in dfs]
             for i, f in enumerate(flags):
                 if f:
@@ -189,6 +189,7 @@ class DataStepCompiler:
             df = M.zip_rows(parts, longest=True)
             df = df.withColumns({f: F.coalesce(f, F.lit(0)) for f in flags if f})
             return df.withColumn(OBS, F.col("__k")).drop("__k")
+        dfs = [self._same_names(with_place(d), by) for d, _ in found]
         self.engine.note_many_to_many(dfs, by, [n for n, _ in self.p.merge])
         df = M.match_merge(dfs, by, flags)
         self.by = [(c, False) for c in by]
