@@ -521,6 +521,7 @@ class DataStepCompiler:
         if kind == "sum":
             return self._sum(df, s[1], s[2], path)
         if kind == "if":
+            self._diagnose(df, s[1], path)
             df, yes = self._narrow(df, path, C.condition(s[1], self.scope(df), False))
             df2 = self._do(df, s[2], yes)
             if s[3] is not None:
@@ -590,8 +591,47 @@ class DataStepCompiler:
         if target[0] != "name":
             raise ProgramError(f"can't assign to {target}")
         e, df = self._lags(df, e, path)
+        self._diagnose(df, e, path)
         return self._set(df, target[1], C.sql(e, self.scope(df)), path)
 
+    def _diagnose(self, df: DataFrame, e: tuple, path) -> None:
+        """With OPTIONS DIAGNOSTICS: warnings of an expression, counted over the rows that reach it, which is a pass of its own."""
+        if "diagnostics" not in self.engine.options:
+            return
+        scope = self.scope(df)
+        checks: dict[str, str] = {}
+
+        def see(n) -> None:
+            if n[0] == "name" and scope.column(None, n[1]) is None:
+                checks[f"Variable {n[1]} is uninitialized"] = "true"
+            elif n[0] == "bin":
+                a, b = C.sql(n[2], scope), C.sql(n[3], scope)
+                if n[1] == "||":
+                    if "n" in (a[1], b[1]):
+                        checks["Numeric-to-character conversion in concatenation"] = "true"
+                    return
+                for side in (a, b):
+                    if side[1] == "c":
+                        checks["Character-to-numeric conversion in arithmetic"] = "true"
+                        checks[f"Invalid numeric data in operator {n[1]}"] = f"trim({side[0]}) NOT IN ('', '.') AND ({num(side)}) IS NULL"
+                if n[1] == "/":
+                    checks["Division by zero"] = f"({num(b)}) = 0"
+                checks[f"Missing value generated by operator {n[1]}"] = f"({num(a)}) IS NULL OR ({num(b)}) IS NULL"
+            elif n[0] == "cmp" and {C.sql(n[2], scope)[1], C.sql(n[3], scope)[1]} == {"c", "n"}:
+                checks["Character-to-numeric conversion in comparison"] = "true"
+            elif n[0] == "call" and n[1] in ("sqrt", "log", "log10") and n[2]:
+                x = num(C.sql(n[2][0], scope))
+                checks[f"Invalid argument of function {n[1].upper()}"] = f"({x}) < 0" if n[1] == "sqrt" else f"({x}) <= 0"
+
+        walk([e], see)
+        if not checks:
+            return
+        reached = df.filter(self._path(path)) if path or self.live else df
+        counts = reached.agg(*(F.count_if(F.expr(c)).alias(f"c{i}") for i, c in enumerate(checks.values()))).first()
+        for text, n in zip(checks, counts, strict=True):
+            if n:
+                self.engine.log("warning", f"{text} occurred {n} time{'s' * (n > 1)}")
+
     def _lags(self, df, e, path):
         """Replaces LAG and DIF calls by columns. A call under a condition sees only the rows that reach it."""
         if not isinstance(e, tuple):

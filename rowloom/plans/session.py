@@ -44,9 +44,9 @@ class RunSummary:
 
 
 class Engine:
-    """``fail_fast``: stop at the first step that fails. ``profiles``: functions that change a program's text before it runs."""
+    """``fail_fast``: stop at the first step that fails. ``profiles``: functions that change a program's text before it runs. ``reporter``: hears what goes to the log, and may stop a run."""
 
-    def __init__(self, spark: SparkSession, workdir: str | None = None, fail_fast: bool = True, profiles=()):
+    def __init__(self, spark: SparkSession, workdir: str | None = None, fail_fast: bool = True, profiles=(), reporter=None):
         self.spark, self.workdir, self.fail_fast, self.profiles = spark, workdir, fail_fast, list(profiles)
         self.libraries: dict[str, Library] = {"WORK": Library("WORK", self)}
         self.formats: dict[str, list] = {}
@@ -57,12 +57,15 @@ class Engine:
         self.tables: dict[str, DataFrame] = {}  # what procedures print, by name
         self.handles: list[str] = []
         self.blocks: list[list[str]] = []
+        self.reporter = reporter
         self.procs = dict(procs.HANDLERS)
         self.macro = MacroProcessor(self.sysfunc, self.log)
         special.register(spark)
 
     def log(self, kind: str, text: str) -> None:
         self.log_lines.append((kind, text))
+        if self.reporter:
+            self.reporter.say(kind, text)
 
     def warnings(self) -> list[str]:
         return [t for k, t in self.log_lines if k == "warning"]
@@ -83,6 +86,8 @@ class Engine:
 
         def run(part: str) -> None:
             for step in Program.parse(part):
+                if self.reporter and self.reporter.stops:
+                    return
                 result = StepResult(type(step).__name__, True)
                 summary.steps.append(result)
                 try:
@@ -410,16 +415,22 @@ class Engine:
         for r in (lines.orderBy(OBS) if OBS in df.columns else lines).select("line").toLocalIterator():
             self.log("put", r[0])
 
-    def note_many_to_many(self, dfs: list[DataFrame], by: list[str], names: list[str]) -> None:
-        """With OPTIONS MERGEWARN: a warning, if two inputs of a merge have several rows of one key. It counts by key, which is a pass of its own."""
+    def note_many_to_many(self, dfs: list[DataFrame], by: list[str], names: list[str], most: int = 20) -> None:
+        """With OPTIONS MERGEWARN: a warning that lists the keys (``most`` of them) of which two inputs or more of a merge have several rows. It counts by key, which is a pass of its own."""
         if "mergewarn" not in self.options:
             return
-        several = [df.groupBy(*by).count().filter("count > 1").select(*by) for df in dfs]
-        for i in range(1, len(several)):
-            both = several[0]
-            cond = [both[k].eqNullSafe(several[i][k]) for k in by]
-            if both.join(several[i], cond, "left_semi").limit(1).count():
-                self.log("warning", f"MERGE: {names[0].upper()} and {names[i].upper()} have several rows of one key")
+        counts = None
+        for i, df in enumerate(dfs):
+            one = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").withColumn("__i", F.lit(i))
+            counts = one if counts is None else counts.unionByName(one)
+        several = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__k"), F.array_sort(F.collect_list(F.struct("__i", "__n"))).alias("__of")).filter("__k > 1")  # a row for each input at most
+        rows = several.orderBy(*by).limit(most + 1).collect()
+        for r in rows[:most]:
+            key = ", ".join(f"{k.upper()}={procs.into_text(r[k])}" for k in by)
+            of = ", ".join("{}.{} ({} observations)".format(*self._split(names[x["__i"]]), x["__n"]) for x in r["__of"])
+            self.log("warning", f"Many-to-many MERGE: BY group {key} has several rows in {of}; they are paired by position, not as a product")
+        if len(rows) > most:
+            self.log("warning", f"Many-to-many MERGE: more than {most} BY groups")
 
     def options_of(self, c: Cursor) -> dict:
         return procs.header(c)

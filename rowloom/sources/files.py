@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-import shutil
 import zipfile
 from pathlib import Path
 from xml.etree import ElementTree
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import put_text
+from ..lang.lexer import ProgramError
 from ..plans.dataset import Dataset, load
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -44,16 +46,32 @@ def rendered(d: Dataset) -> DataFrame:
 
 
 def write_delimited(d: Dataset, path: str, sep: str = ",", folder: bool = False) -> None:
-    """One file at ``path``; or, with ``folder``, a folder of part files, for data beyond one machine."""
+    """One file at ``path``, of part files that tasks write and that are joined byte by byte; or, with ``folder``, the part files themselves."""
     df = rendered(d)
-    options = dict(sep=sep, header="true", emptyValue="", nullValue="", quote='"', escape='"')
+    options = dict(sep=sep, emptyValue="", nullValue="", quote='"', escape='"')
     if folder:
-        df.write.mode("overwrite").options(**options).csv(path)
+        df.write.mode("overwrite").options(header="true", **options).csv(path)
         return
-    tmp = f"{path}.parts"
-    df.coalesce(1).write.mode("overwrite").options(**options).csv(tmp)
-    shutil.move(str(next(Path(tmp).glob("part-*"))), path)
-    shutil.rmtree(tmp)
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    df.write.mode("overwrite").options(header="false", **options).csv(parts)
+    heads = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns))))
+    heads.write.mode("overwrite").options(header="false", **options).csv(f"{parts}.head")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(conf)
+    out = fs.create(place(path), True)
+    try:
+        for folder_ in (f"{parts}.head", parts):  # parts are in order of their names, as the rows are
+            for p in sorted(str(x.getPath().toString()) for x in fs.listStatus(place(folder_))):
+                if "/part-" in p:
+                    data = fs.open(place(p))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, conf, False)
+                    data.close()
+    finally:
+        out.close()
+    for folder_ in (f"{parts}.head", parts):
+        fs.delete(place(folder_), True)
 
 
 def _column(n: int) -> str:
@@ -126,11 +144,42 @@ def read_sas_file(spark: SparkSession, path: str) -> DataFrame:
     for c in pdf.columns:
         if str(pdf[c].dtype).startswith("datetime"):
             pdf[c] = (pdf[c] - pd.Timestamp("1960-01-01")).dt.total_seconds()
-    return load(spark.createDataFrame(pdf))
+    df = load(spark.createDataFrame(pdf))
+    return df.withColumnsRenamed(read_names(path, list(pdf.columns))) if kind == "xport" else df
+
+
+def names_path(path: str) -> Path:
+    """Beside a transport file: the long names of its columns."""
+    return Path(f"{path}.names.json")
+
+
+def write_names(path: str, aliases: dict[str, str]) -> None:
+    if aliases:
+        mark = hashlib.sha256(Path(path).read_bytes()).hexdigest()
+        names_path(path).write_text(json.dumps({"sha256": mark, "names": aliases}, indent=1))
+    else:
+        names_path(path).unlink(missing_ok=True)
+
+
+def read_names(path: str, columns: list[str]) -> dict[str, str]:
+    """The long names of a transport file's columns. A file that was changed since its names were written is refused, as they may be of other columns."""
+    if not names_path(path).exists():
+        return {}
+    try:
+        kept = json.loads(names_path(path).read_text())
+        names, mark = dict(kept["names"]), kept["sha256"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ProgramError(f"{names_path(path)} is no table of names: {e}") from e
+    if mark != hashlib.sha256(Path(path).read_bytes()).hexdigest():
+        raise ProgramError(f"{path} was changed after {names_path(path)} was written")
+    all_ = [names.get(c, c).lower() for c in columns]
+    if not set(names) <= set(columns) or len(set(all_)) < len(all_):
+        raise ProgramError(f"{names_path(path)} does not fit the columns of {path}")
+    return names
 
 
 def write_transport(d: Dataset, path: str, member: str) -> None:
-    """A version 5 transport file: 80-byte records, numbers as IBM doubles."""
+    """A version 5 transport file: 80-byte records, numbers as IBM doubles. Names are cut to 8 characters; those that change are kept beside the file."""
     import struct
     from datetime import datetime
 
@@ -180,3 +229,4 @@ def write_transport(d: Dataset, path: str, member: str) -> None:
     out += [pad(desc), pad(head % (b"OBS", b"0" * 30))]
     body = b"".join((r[i] or "").encode().ljust(w) if t else ibm(r[i]) for r in rows for i, (t, w) in enumerate(zip(chars, widths, strict=True)))
     Path(path).write_bytes(b"".join([*out, pad(body)]))
+    write_names(path, {n: c for n, c in zip(names, df.columns, strict=True) if n != c})

@@ -100,6 +100,8 @@ class FileLibrary(Library):
             sc = self.engine.spark.sparkContext
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            if self.kind == "xport":
+                files.write_names(re.sub(r"^file:(//)?", "", path), {})
 
 
 def open_library(ref: str, engine_name: str, path: str, engine) -> Library:
