@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -29,15 +30,60 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []  # by this driver
+
+
+@contextlib.contextmanager
+def stored_meanwhile(spark: SparkSession):
+    """Gives a ``store``; at the end, what others stored since is deleted. For results that need nothing of it, as they are written."""
+    mark, own = len(_STORED), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = store(df, name)
+        own.append(_STORED[-1])
+        return out
+
+    yield keep
+    for path in _STORED[mark:]:
+        if path not in own:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _STORED[mark:] = own
+
+
 def bounded_batches(spark: SparkSession, mb: int = 1) -> None:
     """Arrow batches are cut by bytes too, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind those that the table has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+@contextlib.contextmanager
+def held_conf(spark: SparkSession, key: str, value: str):
+    """A setting of the session for what runs inside; the one before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
