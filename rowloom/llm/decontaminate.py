@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, byte_texts, table
+from .common import bounded_batches, byte_texts, free_names, table
 
 #: Lower-cases A-Z; all other ASCII but digits and letters becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -199,8 +199,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_span:
 
     ``min_span`` counts as ``window`` at most, so every run of windows has it, and shorter runs are short items: no hit stays.
     """
-    columns = docs.columns
-    found = scan(docs, items, window, most_words).filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    columns, schema = docs.columns, docs.schema
+    clash = [c for c in columns if c in ("n_words", "n_hit", "hit_items", "hit_bits")]
+    other = dict(zip(clash, free_names(docs, *(f"__{c}" for c in clash)), strict=True))
+    found = scan(docs.withColumnsRenamed(other), items, window, most_words).filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,9 +212,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_span:
                     n = b.column("n_words")[i].as_py()
                     texts[i] = cut_spans(texts[i], np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
             new = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == "text" else b.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([new if c == "text" else b.column(other.get(c, c)) for c in columns], names=columns)
 
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, schema)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts, store, table
+from .common import bounded_batches, byte_texts, free_names, store, table
 from .components import components
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -209,10 +209,11 @@ def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     A class follows from the text, so the kept id and text name rows of one class only; of equal ones the first stays.
     """
     least = classes.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("k"))
-    least = least.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__kept"))
-    rows = docs.withColumn("__th", text_hash())
-    kept = rows.join(least, rows["doc_id"].eqNullSafe(least["__id"]) & (rows["__th"] == least["__kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    id_, kept, th = free_names(docs, "__id", "__kept", "__th")
+    least = least.select(F.col("k.doc_id").alias(id_), F.col("k.th").alias(kept))
+    rows = docs.withColumn(th, text_hash())
+    chosen = rows.join(least, rows["doc_id"].eqNullSafe(least[id_]) & (rows[th] == least[kept]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", th]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:

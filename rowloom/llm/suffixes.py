@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from .common import bounded_batches, byte_texts, kept_by_worker, store, table
+from .common import bounded_batches, byte_texts, free_names, kept_by_worker, store, table
 
 M, W, T = 3, 30, 20
 LEAST = 50
@@ -339,16 +339,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeats cut from text, and n_words, n_removed (long), removed (array of [start, end] in words), repeats_of (array of doc_ids of first places)."""
     new = T_.StructType([T_.StructField("n_words", T_.LongType()), T_.StructField("n_removed", T_.LongType()), T_.StructField("removed", T_.ArrayType(T_.ArrayType(T_.LongType()))), T_.StructField("repeats_of", T_.ArrayType(T_.LongType()))])
     docs = docs.drop(*new.names)
-    spans = repeats(docs).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("__spans"), F.array_sort(F.collect_set("first_did")).alias("__of"))
+    did, th, own, of_ = free_names(docs, "__did", "__th", "__spans", "__of")
+    spans = repeats(docs).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias(own), F.array_sort(F.collect_set("first_did")).alias(of_))
     columns = docs.columns
-    joined = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
-    spans = spans.withColumnsRenamed({"did": "__did", "th": "__th"})
+    joined = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), th: F.xxhash64("text")})
+    spans = spans.withColumnsRenamed({"did": did, "th": th})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = byte_texts(b)
             n_words, n_removed, removed, of = [], [], [], []
-            for i, (spans, first) in enumerate(zip(b.column("__spans").to_pylist(), b.column("__of").to_pylist(), strict=True)):
+            for i, (spans, first) in enumerate(zip(b.column(own).to_pylist(), b.column(of_).to_pylist(), strict=True)):
                 n_words.append(len((texts[i] or b"").split()))
                 found = union_spans([(s["start"], s["end"]) for s in spans or ()])
                 if found:
@@ -361,7 +362,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             cols += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(of, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*columns, *new.names])
 
-    return joined.join(spans, ["__did", "__th"], "left").select(*columns, "__spans", "__of").mapInArrow(cut, T_.StructType([*docs.schema.fields, *new.fields]))
+    return joined.join(spans, [did, th], "left").select(*columns, own, of_).mapInArrow(cut, T_.StructType([*docs.schema.fields, *new.fields]))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
