@@ -2,9 +2,9 @@
 
 Documents are range-partitioned by id; each task writes segments, in ascending order. A segment is one row of a
 Parquet container (so that Spark's commit protocol guards it and any store can hold it): the ids of its documents end
-to end as little-endian 16- or 32-bit integers, the document ids, and the boundaries between documents as an
-Elias-Fano sequence: low bits packed, high bits in unary, and the place of each 64th one. That takes about
-2 + log2(tokens / documents) bits for a document; ``EliasFano.select`` finds one offset without decoding the rest.
+to end as little-endian 16- or 32-bit integers, and two Elias-Fano sequences: the boundaries between documents, and the document
+ids less the first of them. Low bits are packed, high bits in unary, with the place of each 64th one. That takes about
+2 + log2(tokens / documents) bits for a boundary; readers ask ``EliasFano.select`` for the offsets they need and make no table of them.
 
 Defined cases: null text is empty (just the end id); null doc_ids come first; rows of one doc_id are ordered by a hash
 of their text; a segment ends with the batch that fills it, so a document is never cut; a table without rows gives an empty folder
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, kept_by_worker, prefix_offsets, shared_dir, table
 
-SEGMENTS = "part int, seq int, n_docs long, n_tokens long, width int, doc_ids array<long>, bounds binary, ids binary"
+SEGMENTS = "part int, seq int, n_docs long, n_tokens long, width int, n_null long, first_id long, doc_ids binary, bounds binary, ids binary"
 
 
 class EliasFano:
@@ -44,7 +44,7 @@ class EliasFano:
 
     @classmethod
     def encode(cls, values) -> EliasFano:
-        v = np.asarray(values, dtype=np.uint64)
+        v = np.array(values, dtype=np.uint64)
         n, top = len(v), int(v[-1]) if len(v) else 0
         k = max(0, (top // n).bit_length() - 1) if n else 0
         bits = ((v[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
@@ -101,9 +101,9 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordCoder:
-    """Whole texts to ids by the tokenizers library, each distinct word once.
+    """Whole texts to ids by the tokenizers library; each distinct word once, where the tokenizer's own settings allow that.
 
-    The tokenizer splits at white space before its merges and its normaliser works on characters, so the ids of a
+    For that its settings must be those below; texts go whole to any other tokenizer. This one splits at white space before its merges and its normaliser works on characters, so the ids of a
     text are those of its words, split at blanks and line ends, one after the other. Texts of plain characters are
     further lower-cased and cut into the runs of letters, digits and marks that this kind of tokenizer merges in, and the
     runs go to the same merges without the normaliser. Two generations of both are kept: memory is bounded, and
@@ -164,10 +164,12 @@ class WordCoder:
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and each text's number of ids; with ``end`` behind each text, where given."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.merges:
+            parts = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return self._ended(np.concatenate([np.empty(0, self.dtype), *parts]), np.cumsum([0, *map(len, parts)]), end)
         kind = np.full(len(texts), 2)
-        if self.merges:
-            for k, pattern in ((1, _NOT_PLAIN), (0, _NOT_SIMPLE)):
-                kind[~pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)] = k
+        for k, pattern in ((1, _NOT_PLAIN), (0, _NOT_SIMPLE)):
+            kind[~pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)] = k
         parts: list[np.ndarray | None] = [None] * len(texts)
         for k in np.unique(kind):
             at = np.flatnonzero(kind == k)
@@ -211,8 +213,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
 
         def flush() -> pa.RecordBatch:
             bounds = np.cumsum([0, *lengths])
-            row = [part, seq, len(lengths), int(bounds[-1]), width, doc_ids, EliasFano.encode(bounds).to_bytes(), np.concatenate(held).tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            known = [d for d in doc_ids if d is not None]  # null ones come first
+            after = EliasFano.encode([d - known[0] for d in known]).to_bytes()
+            row = [part, seq, len(lengths), int(bounds[-1]), width, len(doc_ids) - len(known), known[0] if known else 0, after, EliasFano.encode(bounds).to_bytes(), np.concatenate(held).tobytes()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
         for b in batches:
@@ -239,14 +243,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                bounds = EliasFano.from_bytes(row["bounds"]).decode().astype(np.int64)
-                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-                crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-                n = row["n_docs"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
-                )
+                bounds, doc_ids = EliasFano.from_bytes(row["bounds"]), EliasFano.from_bytes(row["doc_ids"])
+                ids, size, none = memoryview(row["ids"]), row["width"], row["n_null"]
+                found, at = [], bounds.select(0)
+                for i in range(row["n_docs"]):
+                    begin, at = at, bounds.select(i + 1)
+                    own = np.frombuffer(ids[begin * size : at * size], f"<u{size}").astype("<u4")
+                    found.append((None if i < none else row["first_id"] + doc_ids.select(i - none), begin, at - begin, zlib.crc32(own.tobytes())))
+                cols = [pa.array([row[k]] * len(found), pa.int32()) for k in ("part", "seq")] + [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     # where a segment starts: sums inside its part, and the parts before (one row for each task that wrote)
     heads = files.select("part", "seq", "n_tokens")
