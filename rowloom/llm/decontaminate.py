@@ -5,7 +5,8 @@ state and the longest matching length are known. A match of ``window`` words or
 share the state; an item of fewer words counts as a whole. Words that no item has break every match, so only runs of
 known words are walked.
 
-The automaton is sent to all workers: items of at most ``most_words`` words go into one automaton; a larger benchmark
+The automaton is sent to all workers: items of at most ``most_words`` words go into one automaton (200,000 words are some 135 MB in a worker; a single
+item of more is one automaton too, so items should be far shorter); a larger benchmark
 is dealt to as many automata as needed, which the documents pass one after the other, without a shuffle.
 
 Defined cases: null text has no words and no hits; items without words or with null text take no part; repeated items
@@ -154,7 +155,7 @@ def _automata(items: DataFrame, window: int, most_words: int) -> list[Automaton]
         yield Automaton([(r.item_id, words_of(r.text.encode())) for r in sized.filter(deal == k).select("item_id", "text").collect()], window)
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 8, most_words: int = 2_000_000) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 8, most_words: int = 200_000) -> DataFrame:
     """docs and n_words, n_hit (long), hit_items (sorted array of strings), hit_bits (binary, a bit for each word; null: none)."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -194,7 +195,7 @@ def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_span: int = 8, max_coverage: float = 0.5, most_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_span: int = 8, max_coverage: float = 0.5, most_words: int = 200_000) -> DataFrame:
     """docs without what test items share with them: all hit spans leave the text, those of whole short items whatever their length; documents with more than ``max_coverage`` of their words hit go.
 
     ``min_span`` counts as ``window`` at most, so every run of windows has it, and shorter runs are short items: no hit stays.
