@@ -21,5 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op4_url_filter": urls.OP4_SQL,
     "quality_base": quality.BASE_SQL,
 }
