@@ -11,30 +11,42 @@ Law ``bytes``. Equal rows (copies with equal ids) are one row with a count until
 meets in a task; documents of equal text have different keys and spread over all shards.
 
 Defined cases: null text has no bytes (size 16, crc 0); null or repeated doc_ids are ordered by the hash of the rest
-like others; a table without rows gives none; other columns are not looked at.
+like others; texts of any length count whole; a table without rows gives none; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prefix_offsets, store, table
 
 
-def shard(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = 8, sample: int = 20_000, overfull: float = 2.0) -> DataFrame:
+def range_of(key: Column, splitters: list[int]) -> Column:
+    """How many of the sorted splitters are at or below a key: among the first of each block of them, then inside of one block."""
+    if not splitters:
+        return F.lit(0)
+    block = max(1, int(len(splitters) ** 0.5))
+    array = lambda xs: F.array(*map(F.lit, xs))
+    heads, blocks = array(splitters[::block]), F.array(*(array(splitters[i : i + block]) for i in range(0, len(splitters), block)))
+    at = F.size(F.filter(heads, lambda s: s <= key))
+    return F.when(at == 0, 0).otherwise((at - 1) * block + F.size(F.filter(F.get(blocks, at - 1), lambda s: s <= key)))
+
+
+def shard(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = 8, sample: int = 20_000, overfull: float = 2.0, range_rows: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of docs (doc_id, text); ``slot`` counts from 0 in each shard."""
     text = F.coalesce("text", F.lit(""))
     meta = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64("doc_id", text).alias("key"))
     meta = store(meta.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count(F.lit(1)).alias("n")), "meta")
     total, records = meta.agg(F.sum(F.col("n") * F.col("size")), F.count(F.lit(1))).first()
     total = total or 1
-    n_ranges = n_shards * ranges_per_shard
+    n_ranges = max(n_shards * ranges_per_shard, -(-(records or 0) // range_rows))  # a range is one task's work
+    sample = max(sample, 20 * n_ranges)
     # a key is drawn with a chance in proportion to its bytes: about ``sample`` keys, whatever the input
     draw = (F.shiftrightunsigned(F.xxhash64("key", F.lit(7)), 11) / F.lit(float(1 << 53))) < F.lit(float(sample)) * F.col("n") * F.col("size") / F.lit(float(total))
     quantiles = [i / n_ranges for i in range(1, n_ranges)]
     splitters = sorted(set(meta.filter(draw).agg(F.percentile_approx("key", quantiles, 100_000)).first()[0] or []))
-    ranged = meta.withColumn("range", F.size(F.filter(F.array(*map(F.lit, splitters)), lambda s: s <= F.col("key"))) if splitters else F.lit(0))
+    ranged = meta.withColumn("range", range_of(F.col("key"), splitters))
     # ranges with more than ``overfull`` times their share of records are cut into equal parts of their key interval
     most = max(1, int(overfull * (records or 1) / n_ranges))
     ranges = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("records"), F.min("key").alias("low"), F.max("key").alias("high"))
