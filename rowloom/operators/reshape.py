@@ -33,10 +33,10 @@ def first_per_key(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
     return df.groupBy(*named).agg(F.min(F.struct(*rest)).alias("__r")).select(*named, "__r.*").select(*[c for c in df.columns if c != OBS])
 
 
-def transpose(df: DataFrame, by: list[str], variables: list[str], id_: str | None = None, prefix: str = "", name: str = "_NAME_", label: str | None = None, labels: dict | None = None, order: list | None = None, ids: list | None = None) -> DataFrame:
+def transpose(df: DataFrame, by: list[str], variables: list[str], id_: str | None = None, prefix: str = "", name: str = "_NAME_", label: str | None = None, labels: dict | None = None, order: list | None = None, ids: list | None = None, most: int = 10_000) -> DataFrame:
     """Rows of ``variables`` become columns named by the id's values (or by their number). The last of equal ids wins.
 
-    The columns' names must be known to plan: without ``ids`` they are collected, which is as many as the result has columns.
+    The columns' names must be known to plan: without ``ids`` they are collected, which is as many as the result has columns; more than ``most`` are refused.
     """
     order = order or [OBS]
     if id_:
@@ -46,7 +46,9 @@ def transpose(df: DataFrame, by: list[str], variables: list[str], id_: str | Non
         key = F.concat(F.lit(prefix or "COL"), F.row_number().over(w).cast("string"))
     kept = df.select(*by, *[c for c in order if c not in by], key.alias("__id"), *[v for v in variables])
     if ids is None:
-        found = kept.select("__id").distinct().collect()
+        found = kept.select("__id").distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"a transposed table would have more than {most} columns")
         ids = sorted((r[0] for r in found if r[0] is not None), key=lambda t: (len(t), t) if not id_ else (0, t))
     is_char = any(isinstance(df.schema[v].dataType, T.StringType) for v in variables)
     kind = "string" if is_char else "double"

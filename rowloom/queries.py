@@ -411,6 +411,22 @@ q("IO22", "k:i", "data a; set region; run; proc sort; by r_regionkey; run; data
 q("DS36", "n_nationkey:i a:s b:s", "data out; set nation; label n_name = 'Name of it'; format n_regionkey 5.1; a = vlabel(n_name); b = strip(vvalue(n_regionkey)); keep n_nationkey a b; run;", "select n_nationkey, 'Name of it' as a, n_regionkey || '.0' as b from nation")
 q("PR22", "percent:i event_type:s estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; ods output quartiles=out; proc lifetest data=e; time t*c(1); strata event_type; run;", _KM)
 
+# operators that other queries use without being their subject
+
+_NAT = "select n_nationkey, n_name, n_regionkey from nation"
+_NATS = "n_nationkey:i n_name:s n_regionkey:i"
+q("IO01", _NATS, "libname m memory; data m.nat; set nation; run; data out; set m.nat; run;", _NAT)
+q("IO02", _NATS, "libname x xport '{tmp}'; data x.nat; set nation; run; libname x clear; libname y xport '{tmp}'; data out; set y.nat; run;", _NAT)
+q("IO03", "p_partkey:i p_brand:s p_retailprice:d", "libname x xport '{tmp}'; data x.parts(keep=p_partkey p_brand p_retailprice); set part; run; data out; set x.parts; run;", "select p_partkey, p_brand, p_retailprice from part")
+q("IO05", "name:s varnum:i", "libname x xport '{tmp}'; data x.t; a_long_name_of_one = 1; a_long_name_of_two = 2; short = 3; run; libname x clear; libname y xport '{tmp}'; data t; set y.t; run; proc sql; create table out as select name, varnum from dictionary.columns where libname = 'WORK' and memname = 'T'; quit;", "select * from (values ('a_long_name_of_one', 1), ('a_long_name_of_two', 2), ('short', 3)) as t(name, varnum)")
+q("IO15", _NATS, "libname a '{tmp}'; data a.nat; set nation; run; libname a clear; libname b '{tmp}'; data out; set b.nat; run;", _NAT)
+q("EX16", "k:i a:s b:s", "proc sql; create table t as select n_nationkey as k label='The key', n_regionkey as r format=5.1 from nation; quit; data out; set t; a = vlabel(k); b = strip(vvalue(r)); keep k a b; run;", "select n_nationkey as k, 'The key' as a, n_regionkey || '.0' as b from nation")
+q("EX21", "k:i v:d", "data out; set orders; k = o_orderkey; v = input(o_orderpriority, ?? 8.); w = input(put(o_orderkey, 8.), ?? 8.); v = sum(v, w); keep k v; run;", "select o_orderkey as k, o_orderkey as v from orders")
+q("DM09", "n:i", "proc sql noprint; select count(*) into :n from nation; quit; proc sql noprint; create table out as select &n as n from region where r_regionkey = 0; quit;", "select 25 as n")
+q("DS44", "r_regionkey:i v:i", "data a; set region; v = r_regionkey * 2; data out; set a; v = v + 1; proc sort data=out; by r_regionkey; run;", "select r_regionkey, r_regionkey * 2 + 1 as v from region")
+_LANG_EN = _LANG.replace("order by lang desc limit 1", "where lang = 'en'")
+q("ST15", "parameter:s estimate:d stderr:d", "data d; merge documents(keep=doc_id lang) labels(in=a); by doc_id; if a; run; proc genmod data=d descending; class lang(ref='en'); model quality = lang / dist=binomial link=logit; run;", _LANG_EN, "@parameterestimates")
+
 
 def queries() -> dict:
     return {x.key: x.run for x in ALL}
