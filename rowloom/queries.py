@@ -288,7 +288,9 @@ q("ST10", "test:s chisq:d df:d", _SURV + "proc lifetest data=e; time t*c(1); str
 q("ST10S", "test:s chisq:d df:d", _SURV + "ods output logunichisq=out; proc lifetest data=e; time t*c(1); strata event_type / group=g; run;", _RANK.format(s="event_type"))
 _KM = "with c as (select event_type, ceil(value / 10) as time, sum(case when event_id % 3 = 0 then 0 else 1 end) as d, count(*) as m from events group by 1, 2), r as (select *, sum(m) over (partition by event_type order by time desc) as n_risk from c), k as (select event_type, time, d, case when max(case when d = n_risk then 1 else 0 end) over w = 1 then 0.0 else exp(sum(case when d < n_risk then ln(1 - cast(d as double) / n_risk) else 0.0 end) over w) end as s from r window w as (partition by event_type order by time)), v as (select *, lead(time) over (partition by event_type order by time) as next from k where d > 0), p as (select * from (values (25, 0.75), (50, 0.5), (75, 0.25)) as t(percent, level)), h as (select event_type, percent, level, min_by(time, time) as time, min_by(s, time) as s, min_by(next, time) as next from v join p on s <= level + 1e-12 group by 1, 2, 3), e as (select distinct event_type, percent from events, p) select e.event_type, e.percent, case when abs(s - level) < 1e-12 and next is not null then (time + next) / 2 else time end as estimate from e left join h on e.event_type = h.event_type and e.percent = h.percent"
 q("ST11", "event_type:s percent:i estimate:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; run; proc lifetest data=e; time t*c(1); strata event_type; run;", _KM, "@quartiles")
-q("ST12", "parameter:s estimate:d hazardratio:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; x = mod(user_id, 5); run; proc phreg data=e; model t*c(1) = x; run;", None, "@parameterestimates")
+# Newton's steps on the Efron likelihood, over counts by time and value
+_COX = "with recursive c as (select ceil(value / 10) as t, user_id % 5 as x, count(*) as m, sum(case when event_id % 3 = 0 then 0 else 1 end) as d from events group by 1, 2), g as (select t, x, coalesce(m, 0) as m, coalesce(d, 0) as d from (select * from (select distinct t from c), (select distinct x from c)) left join c using (t, x)), k as (select t, x, d, sum(m) over (partition by x order by t desc) as n, sum(d) over (partition by t) as dd from g), b as (select 0 as i, cast(0 as double) as beta union all select i + 1, beta + sum(u) / sum(v) from (select i, beta, (case when f = 0 then dx else 0 end) - (s1 - f * d1) / (s0 - f * d0) as u, (s2 - f * d2) / (s0 - f * d0) - ((s1 - f * d1) / (s0 - f * d0)) ** 2 as v from (select i, beta, dx, s0, s1, s2, d0, d1, d2, unnest(range(dd)) / cast(dd as double) as f from (select i, beta, t, cast(max(dd) as bigint) as dd, sum(d * x) as dx, sum(n * exp(beta * x)) as s0, sum(n * x * exp(beta * x)) as s1, sum(n * x * x * exp(beta * x)) as s2, sum(d * exp(beta * x)) as d0, sum(d * x * exp(beta * x)) as d1, sum(d * x * x * exp(beta * x)) as d2 from b, k where i < 10 group by 1, 2, 3) where dd > 0)) group by i, beta) select 'x' as parameter, beta as estimate, exp(beta) as hazardratio from b where i = 10"
+q("ST12", "parameter:s estimate:d hazardratio:d", "data e; set events; t = ceil(value / 10); c = mod(event_id, 3) = 0; x = mod(user_id, 5); run; proc phreg data=e; model t*c(1) = x; run;", _COX, "@parameterestimates")
 q("ST13", "description:s inside:i", _SURV + "ods output hazardratios=h; proc phreg data=e; model t*c(1) = g; hazardratio 'of g' g / cl=pl; run; data out; set h; inside = pllower < hazardratio < plupper and abs(log(pllower) - log(waldlower)) < 0.001 and abs(log(plupper) - log(waldupper)) < 0.001; run;", "select 'of g' as description, 1 as inside")
 _LANG = "with g as (select lang, sum(quality) as a, sum(1 - quality) as b from labels join documents using (doc_id) group by 1), z as (select * from g order by lang desc limit 1) select 'Intercept' as parameter, ln(1.0 * a / b) as estimate, sqrt(1.0 / a + 1.0 / b) as stderr from z union all select 'lang ' || g.lang, ln(1.0 * g.a * z.b / (1.0 * g.b * z.a)), sqrt(1.0 / g.a + 1.0 / g.b + 1.0 / z.a + 1.0 / z.b) from g, z where g.lang <> z.lang"
 q("ST14", "parameter:s estimate:d stderr:d", "data d; merge documents(keep=doc_id lang) labels(in=a); by doc_id; if a; run; proc genmod data=d descending; class lang; model quality = lang / dist=binomial link=logit type3; run;", _LANG, "@parameterestimates")
