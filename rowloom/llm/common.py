@@ -106,21 +106,26 @@ def byte_texts(batch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
+def release_memory() -> None:
+    """Gives what this process has freed back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _KEPT: dict = {}  # by worker process
 
 
 def kept_by_worker(key, make):
     """What a worker keeps between tasks of one operator. Another operator's goes first, so that the stages of a pipeline don't add up in a reused worker."""
     if key not in _KEPT:
-        import ctypes
-
-        import pyarrow as pa
-
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # back to the system, where the C library can
-        except AttributeError:
-            pass
+        release_memory()
         _KEPT[key] = make()
     return _KEPT[key]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, kept_by_worker, table
+from .common import bounded_batches, kept_by_worker, release_memory, table
 
 CORE, CONTEXT = 256, 24
 _LETTER = regex.compile(r"\p{L}")
@@ -209,6 +209,7 @@ def learn(docs: DataFrame, train_docs: int = 200, train_windows: int = 4, steps:
     x, owner, _ = windows_of([part.encode() for _, part in rows], 96)
     has = _IS_LETTER[x].any(1)
     net.train(x[has], np.array([code[k] for k, _ in rows])[owner][has], steps)
+    release_memory()
     return net
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free_names, held_conf, kept_by_worker, store, table
+from .common import bounded_batches, free_names, held_conf, kept_by_worker, release_memory, store, table
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, pieces: Pieces, head_bytes: int = 64 << 20, column:
     bounded_batches(spark, 4)
     docs = docs.drop(column)
     columns, cut = docs.columns, Cutter(pieces)
-    did, th, own = free_names(docs, "__did", "__th", "__tail")
+    did, th, met_words = free_names(docs, "__did", "__th", "__tail")
     counts = store(corpus_words(docs, pieces), "counts")
     per_task = 15_000
     with held_conf(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * per_task)):  # grouping inside a task needs no sort
@@ -352,6 +352,7 @@ def encode(docs: DataFrame, pieces: Pieces, head_bytes: int = 64 << 20, column:
     dtype = np.uint16 if len(pieces.text) <= 1 << 16 else np.int32
     top, whole = head_of(words, np.dtype(dtype).itemsize, head_bytes)
     sent = spark.sparkContext.broadcast(Head.of(top, dtype))
+    release_memory()  # the driver keeps no copy
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of each document that the head does not have."""
@@ -381,7 +382,7 @@ def encode(docs: DataFrame, pieces: Pieces, head_bytes: int = 64 << 20, column:
             begins, ends = known.begins[place].astype(np.int64), known.begins[place + 1].astype(np.int64)
             ids = known.ids
             if (place < 0).any():  # these came with their documents
-                tail = {x["word"]: x["ids"] for t in b.column(own).to_pylist() for x in t or ()}
+                tail = {x["word"]: x["ids"] for t in b.column(met_words).to_pylist() for x in t or ()}
                 extra = [tail[parts[k].as_py()] for k in np.flatnonzero(place < 0).tolist()]
                 at = len(ids) + np.cumsum([0, *map(len, extra)])
                 ids = np.concatenate([ids, *(np.array(x, dtype) for x in extra)])
@@ -403,8 +404,8 @@ def encode(docs: DataFrame, pieces: Pieces, head_bytes: int = 64 << 20, column:
         return docs.mapInArrow(write, schema)
     keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), th: F.xxhash64("text")})
     tail = keyed.select(did, th, "text").mapInArrow(rest, f"{did} long, {th} long, word string").distinct()  # repeated rows ask once
-    met = tail.join(words.select("word", "ids"), "word").groupBy(did, th).agg(F.collect_list(F.struct("word", "ids")).alias(own))
-    return keyed.join(met, [did, th], "left").select(*columns, own).mapInArrow(write, schema)
+    met = tail.join(words.select("word", "ids"), "word").groupBy(did, th).agg(F.collect_list(F.struct("word", "ids")).alias(met_words))
+    return keyed.join(met, [did, th], "left").select(*columns, met_words).mapInArrow(write, schema)
 
 
 def decode_lists(lists: pa.Array, parts: pa.Array) -> pa.Array:
