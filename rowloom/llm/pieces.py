@@ -152,9 +152,10 @@ def corpus_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """piece, id, score: bounded by the model."""
-    rows = [(pieces.text[i], i, float(pieces.score[i])) for i in pieces.plain()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """piece, id, score: bounded by the model. An Arrow table needs no Python workers, which rows would."""
+    plain = pieces.plain()
+    columns = [pa.array([pieces.text[i] for i in plain], pa.string()), pa.array(plain, pa.int32()), pa.array([pieces.score[i] for i in plain], pa.float64())]
+    return spark.createDataFrame(pa.table(columns, names=["piece", "id", "score"]))
 
 
 #: An edge is packed as end, 255 - size and id in 24, 8 and 31 bits; the id of a character without a piece is _UNKNOWN and its code point until the path is known.
@@ -236,7 +237,7 @@ def long_viterbi(edges: Column, size: Column, score_of, longest: int) -> Column:
     return F.aggregate(F.reverse(best), state, back_chunk, lambda s: F.reverse(F.flatten(F.concat(s["done"], F.array(s["now"]["open"])))))
 
 
-def encode_words(words: DataFrame, pieces: Pieces, words_per_task: int = 15_000) -> DataFrame:
+def encode_words(words: DataFrame, pieces: Pieces, words_per_task: int = 5_000) -> DataFrame:
     """words (word, n; distinct and stored) with ids: array<int>.
 
     The words are dealt to tasks once, by hash; explosion, join with the broadcast piece table and grouping stay inside of them.
@@ -290,7 +291,7 @@ class Head:
 
     @classmethod
     def of(cls, words: DataFrame, dtype) -> Head:
-        """words: word, ids. Tasks pack their rows, so that little more than the table itself passes through the driver."""
+        """words: word, ids. Tasks pack their rows, and the driver frees what it has sorted, so that it holds some twice the table at most."""
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -302,17 +303,20 @@ class Head:
         for row in words.select(F.xxhash64("word").alias("h"), "ids").coalesce(16).mapInArrow(pack, "h binary, n binary, ids binary").toLocalIterator():
             for part, data in zip(held, row, strict=True):
                 part += data
-        h, n, ids = np.frombuffer(held[0], "<u8"), np.frombuffer(held[1], "<i4"), np.frombuffer(held[2], dtype)
-        order = np.argsort(h, kind="stable").astype(np.int32)
-        begins, out, at = np.cumsum(n, dtype=np.int64) - n, np.empty(len(ids), dtype), 0
-        for k in range(0, len(order), 1 << 18):
-            part = order[k : k + (1 << 18)]
-            m = n[part].astype(np.int64)
+        hashes, n, ids = np.frombuffer(held.pop(0), "<u8"), np.frombuffer(held[0], "<i4"), np.frombuffer(held[1], dtype)
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
+        hashes = hashes[order]
+        begins, out, at = np.cumsum(n, dtype=np.int32) - n, np.empty(len(ids), dtype), 0
+        bounds = np.zeros(len(order) + 1, np.int32)
+        np.cumsum(n[order], out=bounds[1:])
+        for k in range(0, len(order), 1 << 16):
+            some = order[k : k + (1 << 16)]
+            m = n[some].astype(np.int64)
             own = np.cumsum(m) - m
             size = int(m.sum())
-            out[at : at + size] = ids[np.arange(size) + np.repeat(begins[part] - own, m)]
+            out[at : at + size] = ids[np.arange(size) + np.repeat(begins[some] - own, m)]
             at += size
-        return cls(h[order], np.concatenate([[0], np.cumsum(n[order])]).astype(np.int32), out)
+        return cls(hashes, bounds, out)
 
     def find(self, words: pa.Array) -> np.ndarray:
         """Each word's place, or -1."""
@@ -341,12 +345,12 @@ def encode(docs: DataFrame, pieces: Pieces, head_bytes: int = 64 << 20, column:
     ``finish`` turns each encoded batch into another of ``finish_schema`` in the same worker.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 4)
+    bounded_batches(spark)  # a worker takes some 40 bytes for each byte of a batch's texts
     docs = docs.drop(column)
     columns, cut = docs.columns, Cutter(pieces)
     did, th, met_words = free_names(docs, "__did", "__th", "__tail")
     counts = store(corpus_words(docs, pieces), "counts")
-    per_task = 15_000
+    per_task = 5_000
     with held_conf(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * per_task)):  # grouping inside a task needs no sort
         words = store(encode_words(counts, pieces, per_task), "words")
     dtype = np.uint16 if len(pieces.text) <= 1 << 16 else np.int32

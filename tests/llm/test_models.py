@@ -188,6 +188,34 @@ def test_repeated_rows_outside_of_the_head(spark):
     assert len(got) == 80 and len({tuple(x.ids) for x in got}) == 1
 
 
+def test_workers_encode_small_batches(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def sizes(b):
+        return pa.RecordBatch.from_arrays([pa.array([pc.sum(pc.binary_length(b.column("text"))).as_py()]), pa.array([b.num_rows])], names=["size", "n"])
+
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('some words ', 2000) as text").coalesce(1)
+    got = pieces.encode(docs, pieces.Pieces.load(pieces.model_path()), finish=sizes, finish_schema="size long, n long").collect()
+    assert sum(x.n for x in got) == 600 and max(x.size for x in got) < 2 << 20
+
+
+def test_the_driver_holds_the_head_twice_at_most(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = spark.range(200_000).selectExpr("cast(id as string) as word", "transform(sequence(0, cast(id % 5 as int)), x -> cast((id + x) % 30000 as int)) as ids")
+    tracemalloc.start()
+    head = pieces.Head.of(words, np.uint16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = head.hashes.nbytes + head.begins.nbytes + head.ids.nbytes
+    assert peak < 2.5 * size + (6 << 20)  # beside it rows on their way, and a part of 65,536 words
+    at = head.find(pa.array(["0", "4", "199999", "none"]))
+    assert at[3] == -1 and [head.ids[head.begins[k] : head.begins[k + 1]].tolist() for k in at[:3]] == [[0], [4, 5, 6, 7, 8], [(199999 + x) % 30000 for x in range(5)]]
+
+
 def test_word_splitting_paths_agree():
     import pyarrow as pa
 
