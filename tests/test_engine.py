@@ -203,3 +203,15 @@ def test_entry_and_registry(spark):
     found, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 200
     assert found["DS08"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/orders.parquet").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").count()
+
+
+def test_rows_without_state_are_dealt_and_keep_their_order(engine, spark):
+    """A loop without a bound runs row by row: in as many tasks as there are shuffle partitions, once, in order."""
+    engine.create_dataset("many", spark.range(1000, numPartitions=1).selectExpr("1000 - id as k", "cast(id as double) as v"))
+    engine.execute("data out; set many; n = 0; do while (v > 10); v = v / 2; n = n + 1; end; output; if k = 500 then output; keep k n; run;")
+    made = engine.tables["out"] if "out" in engine.tables else engine.get_dataset("out")
+    rows = made.collect()
+    assert [r.k for r in rows] == [k for k in range(1000, 0, -1) for _ in range(1 + (k == 500))]
+    assert {r.k: r.n for r in rows}[1] == 7 and {r.k: r.n for r in rows}[995] == 0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "InMemoryTableScan" in plan
